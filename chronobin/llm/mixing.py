@@ -91,12 +91,20 @@ def mix_plan(docs: DataFrame, source: Column, size: Column, key: Column, weights
     return at.select("source", "source_size", "target", "passes", "threshold")
 
 
-def apply_mix(docs: DataFrame, plan: DataFrame, source: Column, key: Column, epochs: str = "epochs") -> DataFrame:
-    """docs with the times each is taken, and its source's size and target as plan.*; a filter by threshold, no sort."""
+def apply_mix(docs: DataFrame, plan: DataFrame, source: Column, key: Column) -> DataFrame:
+    """docs with _mix_epochs, the times each is taken, and its source's row of the plan as _mix_*; a filter by threshold, no sort."""
     few = plan.count() <= BROADCAST_SOURCES
-    p = plan.select(*[F.col(c).alias(f"plan_{c}") for c in plan.columns])
-    joined = docs.join(F.broadcast(p) if few else p, source.eqNullSafe(F.col("plan_source")))
-    return joined.withColumn(epochs, F.col("plan_passes") + (row_hash(key) < F.col("plan_threshold")).cast("long"))
+    p = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
+    joined = docs.join(F.broadcast(p) if few else p, source.eqNullSafe(F.col("_mix_source")))
+    return joined.withColumn("_mix_epochs", F.col("_mix_passes") + (row_hash(key) < F.col("_mix_threshold")).cast("long"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken; its columns as they were."""
+    plan = mix_plan(docs, F.col(source_col), word_count(F.col(text_col)), F.col(id_col), weights, max_epochs)
+    taken = apply_mix(docs, plan, F.col(source_col), F.col(id_col)).where("_mix_epochs > 0")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_epochs"))).alias("_mix_time")
+    return taken.select(*docs.columns, times).select(*docs.columns)
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
@@ -104,8 +112,8 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-docs")
     plan = mix_plan(docs, F.col("source"), F.col("size"), F.col("doc_id"))
-    mixed = apply_mix(docs, plan, F.col("source"), F.col("doc_id"))
-    return mixed.select("doc_id", "size", F.col("plan_source_size").alias("source_size"), F.col("plan_target").alias("target"), (F.col("size") * F.col("epochs")).alias("taken"))
+    out = apply_mix(docs, plan, F.col("source"), F.col("doc_id"))
+    return out.select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("size") * F.col("_mix_epochs")).alias("taken"))
 
 
 OP2_SQL = r"""

@@ -45,15 +45,20 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(id, row, fp) of every row; row is a hash of id and text, fp the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            texts = batch.column(2)
             values = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(values.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["id", "row", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "id long, row long, fp long")
+
+
+def row_key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 def masks(radius: int = 3, bits: int = 64) -> list[int]:
@@ -140,16 +145,30 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): component is the least id reachable through links, a row's own included."""
+    """(id, row, fp, component, leader) of every row.
+
+    component is the least id reachable through links, the row's own included; leader is the
+    row key of the one document that stands for the component (of those with its least id).
+    """
     rows = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
+    lead = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(lead).alias("first")), "simhash-nodes")
     labels = components(near_links(nodes.select("fp"), radius), "simhash-cc")
     grouped = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp")
-    least = grouped.groupBy("label").agg(F.min("first").alias("component"))
-    joined = materialise(grouped.join(least, "label").select("fp", "component"), "simhash-least")
-    classes = materialise(nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")), "simhash-class")
+    least = grouped.groupBy("label").agg(F.min("first").alias("lead"))
+    joined = materialise(grouped.join(least, "label").select("fp", "lead"), "simhash-least")
+    classes = nodes.join(joined, "fp", "left").select("fp", F.coalesce("lead", "first").alias("lead"))
+    classes = materialise(classes.select("fp", F.col("lead.id").alias("component"), F.col("lead.row").alias("leader")), "simhash-class")
     release(nodes, labels, joined)
-    return rows.join(classes, "fp").select("id", "fp", "component")
+    return rows.join(classes, "fp").select("id", "row", "fp", "component", "leader")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component; its columns as they were."""
+    found = near_duplicates(docs, shingle, radius, id_col, text_col)
+    keep = materialise(found.where("row = leader").select(F.col("row").alias("_simhash_row")).distinct(), "simhash-keep")
+    rows = docs.withColumn("_simhash_row", row_key(id_col, text_col)).join(keep, "_simhash_row", "left_semi")
+    return rows.dropDuplicates(["_simhash_row"]).select(*docs.columns)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
