@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 Tree = tuple[tuple[tuple[float, ...], ...], ...]
 
 #: Two regions of four racks of five equal shards: 40.
@@ -109,8 +111,8 @@ def shard_documents(docs: DataFrame, tree: Tree = TREE, id_col: str = "doc_id",
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = assign(assign(rows, "doc_id", tree, "shard"), "doc_id", grown(tree), "grown_shard")
-    out = slots(rows, docs.count(), "shard", "doc_id", ["text_crc32", "size"])
+    rows = materialise(assign(assign(rows, "doc_id", tree, "shard"), "doc_id", grown(tree), "grown_shard"), "shards")
+    out = slots(rows, rows.count(), "shard", "doc_id", ["text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
