@@ -24,6 +24,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Notices by license, in order of preference.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -95,6 +97,7 @@ def scan(files: DataFrame, path: Column, text: Column, speaks: Column, key: Colu
     names = F.array(*[F.lit(n) for n, _ in templates])
     rows = files.select(key.alias("key"), path.alias("path"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(speaks, F.lit(False)).alias("speaks"))
     passages = rows.where(F.col("text").rlike(ANCHOR)).select("key", "path", "speaks", F.explode(F.array_distinct(F.split("text", PASSAGES))).alias("passage")).where(F.col("passage").rlike(ANCHOR))
+    passages = materialise(passages, "license-passages")
     best = passages.join(classify(passages, templates, threshold), "passage")
     rank = F.struct("cosine", (-F.col("t")).alias("order"))
     own = best.groupBy("key", "path").agg(F.max(rank).alias("own"), F.max("speaks").alias("speaks"))
