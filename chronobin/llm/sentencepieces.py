@@ -31,8 +31,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Characters of texts taken at a time, of a suffix array, and units remembered by a worker.
-TEXT_CHARS, ARRAY_CHARS, KEPT_UNITS = 4 << 20, 1 << 20, 1 << 19
-#: Up to this length a unit's next merge is found by a scan, beyond it by a heap.
+TEXT_CHARS, ARRAY_CHARS, KEPT_UNITS = 4 << 20, 1 << 19, 1 << 19
+#: Units up to this length are merged side by side, longer ones by a heap each.
 SCAN = 48
 
 
@@ -184,36 +184,24 @@ class Model:
     def _merge(self, unit: str, spans: dict[int, int]) -> tuple[int, ...]:
         """BPE: join the adjacent pair whose piece has the best score, leftmost first, until none is left."""
         wide, score = self.longest + 1, self.scores
-        if len(unit) <= SCAN:
-            cuts = list(range(len(unit) + 1))
-            while len(cuts) > 2:
-                best, at = None, 0
-                for k in range(len(cuts) - 2):
-                    i = spans.get(cuts[k] * wide + cuts[k + 2] - cuts[k])
-                    if i is not None and (best is None or score[i] > best):
-                        best, at = score[i], k
-                if best is None:
-                    break
-                del cuts[at + 1]
-        else:
-            ahead, back = list(range(1, len(unit) + 2)), list(range(-1, len(unit)))
-            heap = [(-score[i], a, a + 1, a + 2) for a in range(len(unit) - 1) if (i := spans.get(a * wide + 2)) is not None]
-            heapq.heapify(heap)
-            while heap:
-                _, a, b, c = heapq.heappop(heap)
-                if ahead[a] != b or b >= len(unit) or ahead[b] != c:
-                    continue
-                ahead[a], ahead[b] = c, -1
-                if c < len(unit):
-                    back[c] = a
-                    d = ahead[c]
-                    if d - a <= self.longest and (i := spans.get(a * wide + d - a)) is not None:
-                        heapq.heappush(heap, (-score[i], a, c, d))
-                if a > 0 and c - back[a] <= self.longest and (i := spans.get(back[a] * wide + c - back[a])) is not None:
-                    heapq.heappush(heap, (-score[i], back[a], a, c))
-            cuts = [0]
-            while cuts[-1] < len(unit):
-                cuts.append(ahead[cuts[-1]])
+        ahead, back = list(range(1, len(unit) + 2)), list(range(-1, len(unit)))
+        heap = [(-score[i], a, a + 1, a + 2) for a in range(len(unit) - 1) if (i := spans.get(a * wide + 2)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, a, b, c = heapq.heappop(heap)
+            if ahead[a] != b or b >= len(unit) or ahead[b] != c:
+                continue
+            ahead[a], ahead[b] = c, -1
+            if c < len(unit):
+                back[c] = a
+                d = ahead[c]
+                if d - a <= self.longest and (i := spans.get(a * wide + d - a)) is not None:
+                    heapq.heappush(heap, (-score[i], a, c, d))
+            if a > 0 and c - back[a] <= self.longest and (i := spans.get(back[a] * wide + c - back[a])) is not None:
+                heapq.heappush(heap, (-score[i], back[a], a, c))
+        cuts = [0]
+        while cuts[-1] < len(unit):
+            cuts.append(ahead[cuts[-1]])
         out: list[int] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a == 1:
@@ -242,21 +230,68 @@ class Model:
         return tuple(out)
 
     def _learn(self, units: list[str]) -> None:
-        relax = self._merge if self.algorithm == BPE else self._best_path
-        text = np.zeros(sum(map(len, units)) + len(units), np.int32)
-        starts, at = [], 0
-        for u in units:
-            text[at : at + len(u)] = self.char_id[np.frombuffer(u.encode("utf-32-le", "surrogatepass"), np.uint32)]
-            starts.append(at)
-            at += len(u) + 1  # a separator that is in no piece
+        points = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        text = self.char_id[points]  # the separators are in no piece
+        sizes = np.array([len(u) for u in units], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         start, length, ids = self.edges(text)
-        first = np.searchsorted(start, starts).tolist() + [len(start)]
-        owner = np.repeat(np.array(starts, np.int64), np.diff(first)) if len(starts) else start
-        keys = ((start - owner) * (self.longest + 1) + length).tolist()
-        ids = ids.tolist()
+        if self.algorithm == BPE:
+            short = sizes <= SCAN
+            self._merge_all([u for u, ok in zip(units, short.tolist(), strict=True) if ok], starts[short], sizes[short], points, (start, length, ids))
+            rest = np.nonzero(~short)[0].tolist()
+        else:
+            rest = range(len(units))
+        relax = self._merge if self.algorithm == BPE else self._best_path
+        for k in rest:
+            a, b = np.searchsorted(start, [starts[k], starts[k] + sizes[k]])
+            keys = ((start[a:b] - starts[k]) * (self.longest + 1) + length[a:b]).tolist()
+            self.known[units[k]] = relax(units[k], dict(zip(keys, ids[a:b].tolist(), strict=True)))
+
+    def _merge_all(self, units: list[str], starts: np.ndarray, sizes: np.ndarray, points: np.ndarray, edges: tuple) -> None:
+        """BPE of many units side by side: in each round every unit joins its best pair, leftmost first."""
+        wide = self.longest + 1
+        start, length, ids = edges
+        table = np.full(len(points) * wide, -1, np.int32)  # piece by position and length
+        table[start * wide + length] = ids
+        if not hasattr(self, "order"):
+            self.order = np.unique(-np.array(self.scores), return_inverse=True)[1].astype(np.int64)
+            self.single_id = np.full(0x110000, -1, np.int32)
+            self.single_id[[ord(c) for c in self.single]] = list(self.single.values())
+        none = len(self.order)
+        unit = np.repeat(np.arange(len(units)), sizes)
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        span = np.ones(len(at), np.int64)
+        done = []
+        while len(at):
+            joint = np.minimum(span[:-1] + span[1:], wide)
+            ok = (unit[:-1] == unit[1:]) & (joint < wide)
+            piece = np.where(ok, table[at[:-1] * wide + np.where(ok, joint, 0)], -1)
+            rank = np.append(np.where(piece >= 0, self.order[piece], none), none)
+            first = np.concatenate([[0], np.nonzero(unit[1:] != unit[:-1])[0] + 1])
+            key = np.minimum.reduceat(rank << 24 | np.arange(len(at)) - np.repeat(first, np.diff([*first, len(at)])), first)
+            going = (key >> 24) < none
+            merge = first[going] + (key[going] & (1 << 24) - 1)
+            span[merge] += span[merge + 1]
+            keep = np.ones(len(at), bool)
+            keep[merge + 1] = False
+            live = np.repeat(going, np.diff([*first, len(at)]))
+            done.append((unit[~live], at[~live], span[~live]))
+            keep &= live
+            unit, at, span = unit[keep], at[keep], span[keep]
+        unit, at, span = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(at, kind="stable")
+        unit, at, span = unit[order], at[order], span[order]
+        found = np.where(span > 1, table[at * wide + span], self.single_id[points[at]])
+        ends = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
+        plain = found.tolist()
         for k, u in enumerate(units):
-            a, b = first[k], first[k + 1]
-            self.known[u] = relax(u, dict(zip(keys[a:b], ids[a:b], strict=True)))
+            self.known[u] = tuple(plain[ends[k] : ends[k + 1]])
+        for k in np.unique(unit[found < 0]).tolist():  # characters of no piece
+            a, b = ends[k], ends[k + 1]
+            out: list[int] = []
+            for i, p in zip(plain[a:b], at[a:b].tolist(), strict=True):
+                out += [i] if i >= 0 else self._fallback(chr(points[p]))
+            self.known[units[k]] = tuple(out)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.units(t or "") for t in texts]
