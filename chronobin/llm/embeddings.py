@@ -83,8 +83,9 @@ class Index:
         return out
 
 
-def _unit(raw: pa.Array) -> np.ndarray:
-    x = np.array(raw.to_pylist(), np.float64)
+def _unit(raw: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -160,12 +161,13 @@ def _links(index: Index, threshold: float):
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, probes: int = PROBES, lists: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component, kept) of every row."""
-    v = F.col(vec_col).cast("array<double>")
+    kind = "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"
+    v = F.col(vec_col).cast(kind)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     good = F.col(vec_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(finite, F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.when(good, v).alias("v"))
     # A node is a distinct vector of a label; its number is a hash of both, so all rows find it without a join.
-    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0)))))
+    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("label", F.transform("v", lambda x: x.cast("double") + F.lit(0.0)))))
     nodes = materialise(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "pq-nodes")
     n = nodes.count()
     dims = [x[0] for x in nodes.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
@@ -179,7 +181,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, probes: int = PROBES
             continue
         index = Index(_unit(sample["v"]), lists or min(MOST_LISTS, max(LISTS, n // LIST_SIZE)))
         reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        dealt = own.select("node", "label", "v", "copies").mapInArrow(_deal(index, reach, probes), "node long, label string, v array<double>, copies long, list int, side int")
+        dealt = own.select("node", "label", "v", "copies").mapInArrow(_deal(index, reach, probes), f"node long, label string, v {kind}, copies long, list int, side int")
         dealt = materialise(dealt, "pq-lists")
         sizes = dealt.groupBy("label", "list").agg(F.sum(1 - F.col("side")).alias("m"), F.sum("side").alias("q"))
         sizes = sizes.where("m > 0 AND q > 0").select("label", "list", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("q") / CHUNK).cast("int").alias("nc"))
@@ -189,6 +191,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, probes: int = PROBES
         blocks = F.when(member, F.array(F.pmod(salt, F.col("nb")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
         chunks = F.when(member, F.sequence(F.lit(0), F.col("nc") - 1)).otherwise(F.array(F.pmod(salt, F.col("nc")).cast("int")))
         split = both.withColumn("block", F.explode(blocks)).withColumn("chunk", F.explode(chunks)).select("label", "list", "block", "chunk", "node", "copies", "side", "v")
+        # Dealt anew: else the join's partitioning by list, which also satisfies the grouping, would keep a hot list together.
+        split = split.repartition("label", "list", "block", "chunk")
         part = materialise(split.groupBy("label", "list", "block", "chunk").applyInArrow(_links(index, threshold), "node long, other long, n long"), "pq-links")
         found = part if found is None else found.unionByName(part)
     if found is None:
