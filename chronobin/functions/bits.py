@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -24,7 +25,7 @@ def get(data: bytes, index: int) -> bool:
 
 
 def _pair(op):
-    @pandas_udf("binary")
+    @pandas_udf(T.BinaryType())
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else op(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).tobytes() for x, y in zip(a, b, strict=True)])
 
@@ -47,7 +48,7 @@ bit_xnor = _pair(_same(lambda x, y: ~(x ^ y)))
 def bit_not(data: Column, length: Column) -> Column:
     """All bits up to length flipped; the filling stays zero."""
 
-    @pandas_udf("binary")
+    @pandas_udf(T.BinaryType())
     def f(a: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else np.packbits(1 - np.unpackbits(np.frombuffer(x, np.uint8))[: int(k)]).tobytes() for x, k in zip(a, n, strict=True)])
 

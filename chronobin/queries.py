@@ -195,7 +195,7 @@ _ALL: dict = {
     "csv_line": (lambda s, d: _he(s, d).select("event_id", fields.csv_line().alias("line")), f"WITH {_HE} SELECT event_id, printf('%.6f,%d,%d,%d,%d', time, \"detID\", channel, pulse, \"eventType\") AS line FROM h60"),
     "tumbling_counts": (lambda s, d: _he(s, d, 3600.0).groupBy(F.window(fields.mission_timestamp(F.col("time")), "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("events")).select(F.unix_micros("w.start").alias("start_us"), "events"), "SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, count(*) AS events FROM events GROUP BY 1"),
     "fits_scan": (_fits_scan, f"WITH {_HE} SELECT {_COLS} FROM h60"),
-    "fits_headers": (_fits_headers, f"WITH {_HE} SELECT count(*) AS rows, 16 AS evt_length, CAST(floor(min(time)) AS BIGINT) AS tstart, CAST(floor(max(time)) AS BIGINT) AS tstop FROM h60"),
+    "fits_headers": (_fits_headers, f"WITH {_HE} SELECT count(*) AS rows, CAST(16 AS BIGINT) AS evt_length, CAST(floor(min(time)) AS BIGINT) AS tstart, CAST(floor(max(time)) AS BIGINT) AS tstop FROM h60"),
     "store_query": (_store_query, _he_sql(f'time BETWEEN {START} AND {START + 864000} AND channel BETWEEN 10 AND 50 AND "eventType" IN (0, 1)')),
     "time_order": (lambda s, d: _he(s, d).orderBy("time").select("event_id", "time"), f"WITH {_HE} SELECT event_id, time FROM h60"),
 }

@@ -55,7 +55,10 @@ def _value(text: str):
     try:
         return int(text)
     except ValueError:
-        return float(text.replace("D", "E")) if text else None
+        try:
+            return float(text.replace("D", "E"))
+        except ValueError:
+            return text or None
 
 
 def _data_bytes(cards: dict) -> int:
@@ -69,6 +72,8 @@ def _data_bytes(cards: dict) -> int:
 def table_header(f) -> tuple[dict, int]:
     """Cards of the first extension, and where its rows begin."""
     primary = read_header(f)
+    if primary.get("SIMPLE") is not True:
+        raise FitsError("no FITS file")
     f.seek(f.tell() + -(-_data_bytes(primary) // BLOCK) * BLOCK)
     cards = read_header(f)
     if cards.get("XTENSION") != "BINTABLE":
