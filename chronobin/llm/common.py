@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but ASCII blanks (space and 0x09-0x0D).
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="chronobin-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from ..scratch import scratch_path, shared_dir
 
+__all__ = ["WORD", "components", "materialise", "release", "scratch_path", "shared_dir", "spread", "word_count"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/chronobin-{name}-{uuid.uuid4().hex}"
+#: Words are runs of anything but ASCII blanks (space and 0x09-0x0D).
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +37,17 @@ def release(*frames: DataFrame | None) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Bytes of input a core under which a scan is dealt out before Python work.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, often one file and so one task, dealt evenly to all cores; larger inputs as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, null counting as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

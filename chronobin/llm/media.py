@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Fixed values of ISO/IEC 13818-1, and this stream's identifiers.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, PROGRAM, STREAM_TYPE, STREAM_ID = 188, 0x47, 0, 0x1000, 0x100, 1, 0x06, 0xBD
 #: Payload units, the bytes of a unit, units a PES packet, timestamp ticks a PES packet, PES packets between random-access points.
@@ -190,7 +192,7 @@ def store(docs: DataFrame, payload_col: str, media_col: str = "media") -> DataFr
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(media, pa.binary())], names=[*[part.schema.names[i] for i in keep], media_col])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != payload_col)
-    return docs.mapInArrow(run, f"{fields}, `{media_col}` binary")
+    return spread(docs).mapInArrow(run, f"{fields}, `{media_col}` binary")
 
 
 PARSED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>, packet_offsets array<long>"

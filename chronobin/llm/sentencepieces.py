@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -355,7 +357,7 @@ def encode(df: DataFrame, text_col: str = "text", into: str = "ids", model: byte
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, into])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInArrow(run, f"{fields}, `{into}` array<int>")
+    return spread(df).mapInArrow(run, f"{fields}, `{into}` array<int>")
 
 
 def _lists(ids: list[list[int]]) -> pa.Array:
@@ -398,7 +400,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *made], names=["id", "n_tokens", "tokens_crc32", "round_trip"])
 
-    return rows.mapInArrow(run, "id long, n_tokens long, tokens_crc32 long, round_trip boolean")
+    return spread(rows).mapInArrow(run, "id long, n_tokens long, tokens_crc32 long, round_trip boolean")
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

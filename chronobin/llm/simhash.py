@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, release
+from .common import components, materialise, release, spread
 
 #: Fingerprints of one bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["id", "row", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, row long, fp long")
+    return spread(rows).mapInArrow(run, "id long, row long, fp long")
 
 
 def row_key(id_col: str, text_col: str):

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Labelled rows to learn from, on average at most.
 SAMPLE = 20_000
 #: Terms kept, stem lengths, tokens of a context window, weight of quoted hits, of hits near a second-person word.
@@ -206,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     pick = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample / max(1, n))))
     # At most about `sample` rows of two numbers: bounded, hence broadcast.
     chosen = train.where(pick).dropDuplicates(["id"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(10)) < 6)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y", "part")
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).join(F.broadcast(chosen), "id").select("text", "y", "part")
     sizes = {r["y"]: r["n"] for r in chosen.where("part").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Toxicity()
@@ -238,7 +240,7 @@ def with_scores(docs: DataFrame, model: Toxicity, text_col: str = "text", into:
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn(into, score(F.col(text_col)))
+    return spread(docs).withColumn(into, score(F.col(text_col)))
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
