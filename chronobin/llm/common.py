@@ -44,7 +44,7 @@ SMALL = 4 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small input, often one file and so one task, dealt evenly to all cores; larger inputs as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * SMALL else df
 
 
