@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import scratch_path, shared_dir
@@ -37,12 +37,23 @@ def release(*frames: DataFrame | None) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows and bytes of an Arrow batch of texts, of which some are very long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 #: Bytes of input a core under which a scan is dealt out before Python work.
 SMALL = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
     """A small input, often one file and so one task, dealt evenly to all cores; larger inputs as they are."""
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * SMALL else df

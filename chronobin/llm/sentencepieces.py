@@ -33,7 +33,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Characters of texts taken at a time, of a suffix array, and units remembered by a worker.
-TEXT_CHARS, ARRAY_CHARS, KEPT_UNITS = 4 << 20, 1 << 19, 1 << 19
+TEXT_CHARS, ARRAY_CHARS, KEPT_UNITS = 2 << 20, 1 << 19, 1 << 18
 #: Units up to this length are merged side by side, longer ones by a heap each.
 SCAN = 48
 
@@ -106,7 +106,8 @@ class Model:
             self.matrix[k, : self.lengths[k]] = self.char_id[[ord(c) for c in self.pieces[i]]]
         self.multi_ids = np.array(self.multi, np.int32)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == 3 else p.encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of units as 32-bit little-endian bytes, so that a text's are joined without an object an id.
+        self.known: dict[str, bytes] = {}
 
     # -- matching ---------------------------------------------------------------------------
 
@@ -247,7 +248,7 @@ class Model:
         for k in rest:
             a, b = np.searchsorted(start, [starts[k], starts[k] + sizes[k]])
             keys = ((start[a:b] - starts[k]) * (self.longest + 1) + length[a:b]).tolist()
-            self.known[units[k]] = relax(units[k], dict(zip(keys, ids[a:b].tolist(), strict=True)))
+            self.known[units[k]] = np.array(relax(units[k], dict(zip(keys, ids[a:b].tolist(), strict=True))), "<i4").tobytes()
 
     def _merge_all(self, units: list[str], starts: np.ndarray, sizes: np.ndarray, points: np.ndarray, edges: tuple) -> None:
         """BPE of many units side by side: in each round every unit joins its best pair, leftmost first."""
@@ -285,17 +286,21 @@ class Model:
         unit, at, span = unit[order], at[order], span[order]
         found = np.where(span > 1, table[at * wide + span], self.single_id[points[at]])
         ends = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
-        plain = found.tolist()
+        raw = found.astype("<i4").tobytes()
         for k, u in enumerate(units):
-            self.known[u] = tuple(plain[ends[k] : ends[k + 1]])
+            self.known[u] = raw[4 * ends[k] : 4 * ends[k + 1]]
         for k in np.unique(unit[found < 0]).tolist():  # characters of no piece
             a, b = ends[k], ends[k + 1]
             out: list[int] = []
-            for i, p in zip(plain[a:b], at[a:b].tolist(), strict=True):
+            for i, p in zip(found[a:b].tolist(), at[a:b].tolist(), strict=True):
                 out += [i] if i >= 0 else self._fallback(chr(points[p]))
-            self.known[units[k]] = tuple(out)
+            self.known[units[k]] = np.array(out, "<i4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit little-endian bytes."""
         cut = [self.units(t or "") for t in texts]
         if len(self.known) > KEPT_UNITS:
             self.known.clear()
@@ -309,7 +314,7 @@ class Model:
         if new:
             self._learn(new)
         known = self.known
-        return [[i for u in units for i in known[u]] for units in cut]
+        return [b"".join([known[u] for u in units]) for units in cut]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -353,17 +358,16 @@ def encode(df: DataFrame, text_col: str = "text", into: str = "ids", model: byte
         m = _model(data.value)
         for batch in batches:
             for part in _pieces_of(batch, text_col):
-                ids = m.encode(part.column(text_col).to_pylist())
+                ids = m.encode_bytes(part.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, into])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return spread(df).mapInArrow(run, f"{fields}, `{into}` array<int>")
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, ids)])
-    flat = np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+def _lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", into: str = "decoded", model: bytes | None = None) -> DataFrame:
@@ -392,11 +396,11 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         for batch in batches:
             for part in _pieces_of(batch, "text"):
                 texts = part.column("text").to_pylist()
-                ids = m.encode(texts)
+                ids = m.encode_bytes(texts)
                 made = [
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(np.array(x, "<i4").tobytes()) for x in ids], pa.int64()),
-                    pa.array([m.decode(x) == (t or "").replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    pa.array([m.decode(np.frombuffer(x, "<i4").tolist()) == (t or "").replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *made], names=["id", "n_tokens", "tokens_crc32", "round_trip"])
 

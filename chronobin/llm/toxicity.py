@@ -36,6 +36,8 @@ SAMPLE = 20_000
 TERMS, STEMS, WINDOW, QUOTED, DIRECT = 400, (4, 5, 6, 7), 8, 0.3, 1.25
 #: Fewest characters of a word that may be misspelled.
 FUZZY_LENGTH = 5
+#: Tokens that a worker remembers, and terms that a task counts before it hands them on.
+MEMO, COUNTED = 1 << 17, 1 << 18
 TOKEN = re.compile(r"[^\W_]+")
 REPORTING = frozenset("said says wrote writes called quote quoted quoting word words term phrase reported claimed dit mot cita palabra dijo sagte wort zitat".split())
 SECOND_PERSON = frozenset("you your youre u ur tu toi vous ton votre tú usted vosotros du dich dein ihr euch sie".split())
@@ -99,7 +101,9 @@ class Toxicity:
 
     def __post_init__(self):
         self.trie = Trie([w for w in self.words if len(w) >= FUZZY_LENGTH])
-        self.memo: dict[str, tuple[str, float, bool] | None] = {}
+        #: Tokens that were looked up, and what those that matched are.
+        self.seen: set[str] = set()
+        self.found: dict[str, tuple[str, float, bool]] = {}
 
     def __reduce__(self):
         return Toxicity, (self.words, self.stems, self.coefficients)
@@ -121,18 +125,19 @@ class Toxicity:
     def features(self, text: str | None) -> list[float]:
         lower = (text or "").lower()
         tokens = TOKEN.findall(lower)
-        memo = self.memo
-        if len(memo) > 1 << 19:
-            memo.clear()
-        hits = []
-        for t in set(tokens):
-            if t not in memo:
-                memo[t] = self.match(t)
-            if memo[t]:
-                hits.append(t)
-        if not hits:
+        distinct = set(tokens)
+        new = distinct - self.seen
+        if len(self.seen) + len(new) > MEMO:
+            self.seen.clear()
+            self.found.clear()
+            new = distinct
+        for t in new:
+            if hit := self.match(t):
+                self.found[t] = hit
+        self.seen |= new
+        wanted = distinct & self.found.keys()
+        if not wanted:
             return [0.0] * FEATURES
-        wanted = set(hits)
         spans = [m.span() for m in TOKEN.finditer(lower)]
         direct = quoted = fuzzy = top = densest = 0.0
         terms, recent, inside, seen = set(), [], False, 0
@@ -145,7 +150,7 @@ class Toxicity:
             seen = b
             if tokens[i] not in wanted:
                 continue
-            term, weight, misspelled = memo[tokens[i]]
+            term, weight, misspelled = self.found[tokens[i]]
             window = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
             if inside or not REPORTING.isdisjoint(window):
                 quoted += weight * QUOTED
@@ -181,10 +186,18 @@ def _candidates(batches):
             words = {w for w in TOKEN.findall((text.as_py() or "").lower()) if not w.isdigit()}
             found = {w[:k] + "*" for k in STEMS for w in words if len(w) > k} | words
             counts[label].update(found)
+            if len(counts[0]) + len(counts[1]) > COUNTED:
+                yield from _drain(counts)
+    yield from _drain(counts)
+
+
+def _drain(counts: tuple[Counter, Counter]):
     names = list(counts[0].keys() | counts[1].keys())
     for at in range(0, len(names), 1 << 16):
         part = names[at : at + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([counts[k][n] for n in part], pa.int64()) for k in (1, 0)]], names=["term", "a", "c"])
+    for c in counts:
+        c.clear()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
