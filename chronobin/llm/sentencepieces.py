@@ -386,6 +386,23 @@ def decode(df: DataFrame, ids_col: str = "ids", into: str = "decoded", model: by
     return df.mapInArrow(run, f"{fields}, `{into}` string")
 
 
+def tokenise(df: DataFrame, text_col: str = "text", model: bytes | None = None) -> DataFrame:
+    """df with ids, n_tokens, and round_trip: whether the ids decode to the text; one pass for both directions."""
+    data = df.sparkSession.sparkContext.broadcast(model or read_model())
+
+    def run(batches):
+        m = _model(data.value)
+        for batch in batches:
+            for part in _pieces_of(batch, text_col):
+                texts = part.column(text_col).to_pylist()
+                ids = m.encode_bytes(texts)
+                same = [m.decode(np.frombuffer(x, "<i4").tolist()) == (t or "").replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=[*part.schema.names, "ids", "n_tokens", "round_trip"])
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return spread(df).mapInArrow(run, f"{fields}, ids array<int>, n_tokens long, round_trip boolean")
+
+
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: bytes | None = None) -> DataFrame:
     """(id, n_tokens, tokens_crc32, round_trip): ids are encoded, hashed as 32-bit little-endian, and decoded again."""
     data = df.sparkSession.sparkContext.broadcast(model or read_model())

@@ -20,6 +20,7 @@ are not learned from; repeated rows are scored alike; extra columns are ignored.
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,23 +51,20 @@ class Trie:
 
     def __init__(self, words: list[str]):
         self.root: dict = {}
-        self.heads, self.tails = set(), set()
-        self.sizes = {len(w) for w in words}
+        self.sizes = {len(w) + k for w in words for k in (-1, 0, 1)}
+        #: The words, and those without one character: what is one edit away shares one of these with the token.
+        self.near = {w[:k] + w[k + 1 :] for w in words for k in range(len(w))} | set(words)
         for w in words:
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-            # One edit leaves the first or the second half of a term as it was.
-            self.heads.add(w[: len(w) // 2])
-            self.tails.add(w[len(w) // 2 :])
-        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
 
     def may_match(self, word: str) -> bool:
-        n = len(word)
-        if not (n in self.sizes or n - 1 in self.sizes or n + 1 in self.sizes):
+        """False only if no word is within one edit; spares most tokens the walk."""
+        if len(word) not in self.sizes:
             return False
-        return any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)
+        return word in self.near or any(word[:k] + word[k + 1 :] in self.near for k in range(len(word)))
 
     def within(self, word: str, edits: int = 1) -> str | None:
         """A word of the trie at most `edits` insertions, deletions or substitutions away, the nearest first.
@@ -167,6 +165,11 @@ class Toxicity:
             densest = max(densest, sum(w for _, w in recent))
         return [top, float(np.log1p(direct)), float(np.log1p(fuzzy)), float(np.log1p(quoted)), float(np.log1p(len(terms))), float(np.log1p(densest)), direct / (1.0 + np.sqrt(len(tokens)))]
 
+    def forget(self) -> None:
+        """Drop what was remembered of tokens: workers outlive their tasks."""
+        self.seen.clear()
+        self.found.clear()
+
     def score(self, text: str | None) -> float:
         if not self.coefficients:
             return 0.0
@@ -250,8 +253,13 @@ def with_scores(docs: DataFrame, model: Toxicity, text_col: str = "text", into:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared.value
+        try:
+            for texts in batches:
+                yield pd.Series([model.score(t) for t in texts], dtype="float64")
+        finally:
+            model.forget()
 
     return spread(docs).withColumn(into, score(F.col(text_col)))
 
