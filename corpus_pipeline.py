@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronobin.llm import mixing, sentencepieces, simhash, toxicity
 from chronobin.llm.common import scratch_path
@@ -27,9 +26,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids, the number of them, and whether they decode to the text."""
-    tokens = sentencepieces.decode(sentencepieces.encode(docs, into="ids"), into="decoded")
-    same = F.col("decoded") == F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(sentencepieces.SPACE), F.lit(" "))
-    return tokens.select(*docs.columns, "ids", F.size("ids").alias("n_tokens"), same.alias("round_trip"))
+    return sentencepieces.tokenise(docs)
 
 
 STAGES = [("toxicity", reject_toxic), ("simhash", drop_near_duplicates), ("mixing", mix_sources), ("sentencepiece", tokenise)]
