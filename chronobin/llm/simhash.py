@@ -18,6 +18,8 @@ names, are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -163,12 +165,149 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
     return rows.join(classes, "fp").select("id", "row", "fp", "component", "leader")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component; its columns as they were."""
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    keep = materialise(found.where("row = leader").select(F.col("row").alias("_simhash_row")).distinct(), "simhash-keep")
-    rows = docs.withColumn("_simhash_row", row_key(id_col, text_col)).join(keep, "_simhash_row", "left_semi")
-    return rows.dropDuplicates(["_simhash_row"]).select(*docs.columns)
+# -- similarity beyond a few bits ----------------------------------------------------------------
+
+WIDE = 4  # words of 64 bits
+MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """SimHash of 256 bits as four words; each further word takes the shingles' hashes mixed anew."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(WIDE, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n)
+    ones = np.zeros((WIDE, 64), np.int64)
+    for at in range(0, n, 1 << 15):
+        for k, c in enumerate(MIX):
+            h = hashes[at : at + (1 << 15)] ^ np.uint64(c)
+            if k:  # the finaliser of SplitMix64
+                h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                h ^= h >> np.uint64(31)
+            ones[k] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _wide_rows(shingle: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1)
+            values = np.array([wide_fingerprint(t.as_py(), shingle) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(values[:, k]) for k in range(WIDE)]], names=["id", "row", *[f"w{k}" for k in range(WIDE)]])
+
+    return run
+
+
+def sampling(similarity: float, n: int) -> tuple[int, int, int]:
+    """(radius, bits of a key, tables) for a Jaccard similarity of shingles among n fingerprints.
+
+    Keys grow with log n, so buckets of unrelated texts stay small, and tables with them, so
+    that a pair at the threshold meets with probability 1 - exp(-3), closer ones surely.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(48, max(12, math.ceil(math.log2(max(2, n))) + 3))
+    return int(64 * WIDE * share), bits, math.ceil(3 / (1 - share) ** bits)
+
+
+def _wide_links(radius: int):
+    """As _links, over rows (key, i, j, side, node, w0..w3)."""
+
+    def pairs(left, right):
+        nodes = left if right is None else left + right
+        if len(nodes) <= 12:
+            values = [int.from_bytes(f) for _, f in nodes]
+            for i in range(len(left)):
+                for j in range(i + 1 if right is None else len(left), len(nodes)):
+                    if (values[i] ^ values[j]).bit_count() <= radius:
+                        yield i, j
+            return
+        m = np.frombuffer(b"".join(f for _, f in nodes), np.uint64).reshape(-1, WIDE)
+        for i in range(len(left)):
+            base = i + 1 if right is None else len(left)
+            for j in np.nonzero(np.bitwise_count(m[base:] ^ m[i]).sum(1) <= radius)[0].tolist():
+                yield i, base + j
+
+    def flush(left, right, own, out):
+        nodes = left if own else left + right
+        parent = list(range(len(nodes)))
+        for i, j in pairs(left, None if own else right):
+            while parent[i] != i:
+                i = parent[i]
+            while parent[j] != j:
+                j = parent[j]
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                out.append((nodes[i][0], nodes[j][0]))
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    def run(batches):
+        at, left, right, out = None, [], [], []
+        for batch in batches:
+            raw = np.column_stack([batch.column(f"w{k}").to_numpy() for k in range(WIDE)]).tobytes()
+            rows = zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "node")], strict=True)
+            for n, (key, i, j, side, node) in enumerate(rows):
+                if (key, i, j) != at:
+                    if at is not None:
+                        flush(left, right, at[1] == at[2], out)
+                    at, left, right = (key, i, j), [], []
+                (right if side else left).append((node, raw[8 * WIDE * n : 8 * WIDE * (n + 1)]))
+            if out:
+                yield batch_of(out)
+                out = []
+        if at is not None:
+            flush(left, right, at[1] == at[2], out)
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Edges between nodes(node, w0..w3) whose fingerprints differ in no more bits than the similarity allows."""
+    radius, bits, tables = sampling(similarity, n)
+    rng = np.random.default_rng(5)
+    literal = []
+    for t in range(tables):
+        mask = [0] * WIDE
+        for b in rng.choice(64 * WIDE, bits, replace=False).tolist():
+            mask[b // 64] |= 1 << b % 64
+        literal.append(F.struct(F.lit(t).alias("t"), *[F.lit(_signed(m)).alias(f"m{k}") for k, m in enumerate(mask)]))
+    words = [f"w{k}" for k in range(WIDE)]
+    rows = nodes.select("node", *words, F.explode(F.array(*literal)).alias("x"))
+    rows = rows.select(F.xxhash64("x.t", *[F.col(f"w{k}").bitwiseAND(F.col(f"x.m{k}")) for k in range(WIDE)]).alias("key"), "node", *words)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Only the keys travel in the join; fingerprints follow for those that share a bucket.
+    shared = rows.select("key", "node").join(sizes, "key").withColumn("b", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    shared = shared.withColumn("own", F.pmod(F.xxhash64("node"), F.col("b")).cast("int")).select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("o"))
+    dealt = shared.join(nodes.select("node", *words), "node")
+    dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", *words)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_wide_links(radius), "u long, v long")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component of near-duplicates; its columns as they were.
+
+    Texts link if their 256-bit SimHashes of word shingles are as close as those of texts of
+    this Jaccard similarity are on average. Covering tables exist for a few bits only, so
+    candidates come from tables of sampled bits instead, whose number grows with the input.
+    """
+    words = [f"w{k}" for k in range(WIDE)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), row_key(id_col, text_col).alias("row"))
+    rows = materialise(spread(texts).mapInArrow(_wide_rows(shingle), "id long, row long, " + ", ".join(f"{w} long" for w in words)), "wide")
+    lead = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    nodes = materialise(rows.groupBy(*words).agg(F.min(lead).alias("first")).withColumn("node", F.xxhash64(*words)), "wide-nodes")
+    links = materialise(similar_links(nodes.select("node", *words), similarity, nodes.count()), "wide-links")
+    labels = components(links, "wide-cc")
+    grouped = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keep = materialise(grouped.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_simhash_row")), "wide-keep")
+    release(rows, nodes, links, labels)
+    out = docs.withColumn("_simhash_row", row_key(id_col, text_col)).join(keep, "_simhash_row", "left_semi")
+    return out.dropDuplicates(["_simhash_row"]).select(*docs.columns)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
