@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import scratch_path, shared_dir
 
-__all__ = ["WORD", "components", "materialise", "release", "scratch_path", "shared_dir", "spread", "word_count"]
+__all__ = ["WORD", "components", "materialise", "release", "scratch_path", "shared_dir", "spread", "tidy", "word_count"]
 
 #: Words are runs of anything but ASCII blanks (space and 0x09-0x0D).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +52,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def tidy(run):
+    """run(batches) for mapInArrow, after which the worker, which outlives its task, gives its free memory back."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 #: Bytes of input a core under which a scan is dealt out before Python work.
 SMALL = 4 << 20
 

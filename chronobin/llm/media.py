@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import spread, tidy
 
 #: Fixed values of ISO/IEC 13818-1, and this stream's identifiers.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, PROGRAM, STREAM_TYPE, STREAM_ID = 188, 0x47, 0, 0x1000, 0x100, 1, 0x06, 0xBD
@@ -192,7 +192,7 @@ def store(docs: DataFrame, payload_col: str, media_col: str = "media") -> DataFr
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(media, pa.binary())], names=[*[part.schema.names[i] for i in keep], media_col])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != payload_col)
-    return spread(docs).mapInArrow(run, f"{fields}, `{media_col}` binary")
+    return spread(docs).mapInArrow(tidy(run), f"{fields}, `{media_col}` binary")
 
 
 PARSED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>, packet_offsets array<long>"
@@ -217,7 +217,7 @@ def parse(stored: DataFrame, media_col: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *made], names=[*[part.schema.names[i] for i in keep], *[x.split()[0] for x in PARSED.split(", ")]])
 
     fields = "".join(f"`{c}` {t}, " for c, t in stored.dtypes if c != media_col)
-    return stored.mapInArrow(run, fields + PARSED)
+    return stored.mapInArrow(tidy(run), fields + PARSED)
 
 
 def padded(text: F.Column) -> F.Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import spread, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -362,7 +362,7 @@ def encode(df: DataFrame, text_col: str = "text", into: str = "ids", model: byte
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, into])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return spread(df).mapInArrow(run, f"{fields}, `{into}` array<int>")
+    return spread(df).mapInArrow(tidy(run), f"{fields}, `{into}` array<int>")
 
 
 def _lists(ids: list[bytes]) -> pa.Array:
@@ -383,7 +383,7 @@ def decode(df: DataFrame, ids_col: str = "ids", into: str = "decoded", model: by
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInArrow(run, f"{fields}, `{into}` string")
+    return df.mapInArrow(tidy(run), f"{fields}, `{into}` string")
 
 
 def tokenise(df: DataFrame, text_col: str = "text", model: bytes | None = None) -> DataFrame:
@@ -400,7 +400,7 @@ def tokenise(df: DataFrame, text_col: str = "text", model: bytes | None = None)
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=[*part.schema.names, "ids", "n_tokens", "round_trip"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return spread(df).mapInArrow(run, f"{fields}, ids array<int>, n_tokens long, round_trip boolean")
+    return spread(df).mapInArrow(tidy(run), f"{fields}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: bytes | None = None) -> DataFrame:
@@ -421,7 +421,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *made], names=["id", "n_tokens", "tokens_crc32", "round_trip"])
 
-    return spread(rows).mapInArrow(run, "id long, n_tokens long, tokens_crc32 long, round_trip boolean")
+    return spread(rows).mapInArrow(tidy(run), "id long, n_tokens long, tokens_crc32 long, round_trip boolean")
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

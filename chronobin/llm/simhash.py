@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, release, spread
+from .common import components, materialise, release, spread, tidy
 
 #: Fingerprints of one bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["id", "row", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
-    return spread(rows).mapInArrow(run, "id long, row long, fp long")
+    return spread(rows).mapInArrow(tidy(run), "id long, row long, fp long")
 
 
 def row_key(id_col: str, text_col: str):
@@ -143,7 +143,7 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     shared = shared.select("t", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("o"))
     dealt = shared.select("t", "key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "fp")
     dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    return dealt.mapInArrow(_links(radius), "u long, v long")
+    return dealt.mapInArrow(tidy(_links(radius)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +286,7 @@ def similar_links(nodes: DataFrame, similarity: float, n: int) -> DataFrame:
     shared = shared.withColumn("own", F.pmod(F.xxhash64("node"), F.col("b")).cast("int")).select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("o"))
     dealt = shared.join(nodes.select("node", *words), "node")
     dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", *words)
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_wide_links(radius), "u long, v long")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(_wide_links(radius)), "u long, v long")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +298,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     """
     words = [f"w{k}" for k in range(WIDE)]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), row_key(id_col, text_col).alias("row"))
-    rows = materialise(spread(texts).mapInArrow(_wide_rows(shingle), "id long, row long, " + ", ".join(f"{w} long" for w in words)), "wide")
+    rows = materialise(spread(texts).mapInArrow(tidy(_wide_rows(shingle)), "id long, row long, " + ", ".join(f"{w} long" for w in words)), "wide")
     lead = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     nodes = materialise(rows.groupBy(*words).agg(F.min(lead).alias("first")).withColumn("node", F.xxhash64(*words)), "wide-nodes")
     links = materialise(similar_links(nodes.select("node", *words), similarity, nodes.count()), "wide-links")

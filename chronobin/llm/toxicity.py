@@ -20,16 +20,14 @@ are not learned from; repeated rows are scored alike; extra columns are ignored.
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import spread, tidy
 
 #: Labelled rows to learn from, on average at most.
 SAMPLE = 20_000
@@ -228,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     sizes = {r["y"]: r["n"] for r in chosen.where("part").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Toxicity()
-    found = rows.where("part").select("text", "y").mapInArrow(_candidates, "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    found = rows.where("part").select("text", "y").mapInArrow(tidy(_candidates), "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     odds = F.log((F.col("a") + 0.5) / F.lit(sizes[1] + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(sizes[0] + 1.0))
     low = odds - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("c") + 0.5))
     least = max(3, sizes[1] // 100)
@@ -240,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             made = [model.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    learned = rows.where("NOT part").select("text", "y").mapInArrow(vectors, "x array<double>, y int").toArrow()
+    learned = rows.where("NOT part").select("text", "y").mapInArrow(tidy(vectors), "x array<double>, y int").toArrow()
     y = learned["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return Toxicity()
@@ -248,24 +246,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     return model
 
 
-def with_scores(docs: DataFrame, model: Toxicity, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with the score of every whole text."""
+def with_scores(docs: DataFrame, model: Toxicity, text_col: str = "text", into: str = "score", keep_text: bool = True) -> DataFrame:
+    """docs with the score of every whole text; keep_text=False spares the way back of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if keep_text or c != text_col]
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         model = shared.value
         try:
-            for texts in batches:
-                yield pd.Series([model.score(t) for t in texts], dtype="float64")
+            for batch in batches:
+                scores = [model.score(t.as_py()) for t in batch.column(text_col)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(scores, pa.float64())], names=[*kept, into])
         finally:
             model.forget()
 
-    return spread(docs).withColumn(into, score(F.col(text_col)))
+    kinds = dict(docs.dtypes)
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
+    return spread(docs).mapInArrow(tidy(run), f"{fields}, `{into}` double")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of all documents."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = with_scores(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), fit(docs, labels))
+    scored = with_scores(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), fit(docs, labels), keep_text=False)
     return scored.select("doc_id", "held_out", "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
