@@ -80,8 +80,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words of a text, null counting as empty."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words of a text, null counting as empty; words shrink to a letter each, no string is made of any."""
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.length(F.regexp_replace(inner, WORD + r"[\x20\x09-\x0D]*+", "w")).cast("long")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
