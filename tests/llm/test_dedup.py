@@ -94,6 +94,31 @@ def test_deduplicate_keeps_one_of_each_group_and_all_columns(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
+def test_deduplicate_against_jaccard(spark):
+    """Groups are those of five-word shingles of a Jaccard similarity of 0.8 or more; the texts leave a gap around it."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(500)]
+    rows = []
+    for k in range(60):
+        base = rng.choices(words, k=rng.choice([150, 400]))
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, 2, 9 if len(base) < 200 else 25):  # similarities over 0.85, and under 0.7
+            t = list(base)
+            for at in range(edits):
+                t[(at * len(t)) // edits + rng.randrange(6)] = f"x{k}"
+            rows.append((len(rows), " ".join(t)))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    first = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            similar = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            assert not 0.7 < similar < 0.85
+            if similar >= 0.8:
+                first[i] = min(first[i], first[j])
+    got = {r.doc_id for r in simhash.deduplicate(docs(spark, rows)).select("doc_id").collect()}
+    assert got == set(first) and 60 < len(got) < len(rows)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5001), (5001, 5000), (6000, 6000)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}

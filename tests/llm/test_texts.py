@@ -249,3 +249,54 @@ def test_pipeline(spark, tmp_path):
     assert kept.where("NOT round_trip").count() == 0
     result = pipeline.run(spark, str(tmp_path))
     assert result.count() == kept.count()
+
+
+@MODEL
+def test_pipeline_against_brute_force(spark, tmp_path, library):
+    """run()'s rows, each stage once more in plain Python over the rows that the one before kept."""
+    import re
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    from test_tables import water_fill
+
+    from chronobin.llm import simhash
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts, labels = toxic_corpus(600)
+    ids = list(dict.fromkeys(i for i, *_ in texts if i is not None))
+    kept = [(i, next(t for j, t, *_ in texts if j == i), "abc"[i % 3]) for i in ids]
+    kept += [(5000 + k, kept[k][1], None) for k in range(0, 90, 3)] + [(6000, None, "a"), (6001, "", "b"), (6002, "one two", None), (None, "no id here", "c")]
+    spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in kept], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    n = len(kept)
+    kept = [r for r in kept if model.score(r[1]) < 0.5]
+    assert len(kept) < n
+    radius = simhash.sampling(0.8, 1)[0]
+    prints = np.array([simhash.wide_fingerprint((t or "").encode()) for _, t, _ in kept])
+    label = np.arange(len(kept))
+    for a in range(len(kept)):
+        for b in np.nonzero(np.bitwise_count(prints ^ prints[a]).sum(1) <= radius)[0]:
+            if label[a] != label[b]:
+                label[label == label[b]] = label[a]
+    groups = defaultdict(list)
+    for r, x in zip(kept, label.tolist(), strict=True):
+        groups[x].append(r)
+    assert len(groups) < len(kept)
+    kept = [min(g, key=lambda r: (r[0] is None, r[0])) for g in groups.values()]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, want = defaultdict(int), Counter()
+    for _, t, s in kept:
+        sizes[s] += size(t)
+    for s, target in water_fill(sizes).items():
+        passes, cum = int(target // sizes[s]), 0
+        budget = target - passes * sizes[s]
+        key = lambda i: hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15]
+        for i, t, _ in sorted((r for r in kept if r[2] == s), key=lambda r: key(r[0])):
+            here = size(t)
+            more = cum + here <= budget or (cum <= budget and (budget - cum) * 2 >= here)
+            cum += here
+            want[i, t, s, tuple(library.encode(t or ""))] += passes + more
+    got = Counter((r.doc_id, r.text, r.source, tuple(r.ids)) for r in pipeline.run(spark, str(tmp_path)).collect())
+    assert got == +want
