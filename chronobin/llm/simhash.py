@@ -30,6 +30,8 @@ from .common import components, materialise, release, spread, tidy
 
 #: Fingerprints of one bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
+#: Shingles of a block of texts, on average at most.
+PIECES = 1 << 19
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -173,17 +175,25 @@ WIDE = 16
 STEP = 0x9E3779B97F4A7C15
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray:
-    """SimHash of WIDE words; each word but the first takes the shingles' hashes mixed anew."""
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
     words = text.lower().split() if text else []
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """SimHash of WIDE words over the distinct shingles; each word but the first takes their hashes mixed anew."""
+    found = shingle_set(text, shingle)
+    if not len(found):
+        return np.zeros(WIDE, np.uint64)
     mix = np.arange(WIDE, dtype=np.uint64) * np.uint64(STEP)
     ones = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, n, 1 << 12):
-        hashes = np.array([digest(b" ".join(words[i : i + shingle]), 42) for i in range(at, min(n, at + (1 << 12)))], np.uint64)
+    for at in range(0, len(found), 1 << 12):
+        hashes = found[at : at + (1 << 12)]
         h = hashes[:, None] + mix
         # The finaliser of SplitMix64.
         h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -193,7 +203,7 @@ def wide_fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray:
         bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):  # a byte counts so many
             ones += bits[k : k + 255].sum(0, dtype=np.uint8)
-    return np.packbits(ones * 2 > n, bitorder="little").view("<u8")
+    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u8")
 
 
 def _wide_rows(shingle: int):
@@ -211,10 +221,14 @@ def sampling(similarity: float, n: int) -> tuple[int, int, int]:
 
     Keys grow with log n, so buckets of unrelated texts stay small, and tables with them, so
     that a pair at the threshold meets with probability 1 - exp(-4), closer ones more surely.
+    The radius only makes candidates: sets of few shingles differ in up to 0.04 more of their
+    bits (4 of 5 shingles: 3/16), and five standard deviations are added.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    far = min(0.5, share + 0.04)
+    radius = math.ceil(64 * WIDE * far + 5 * math.sqrt(64 * WIDE * far * (1 - far)))
     bits = min(48, max(12, math.ceil(math.log2(max(2, n))) + 3))
-    return int(64 * WIDE * share), bits, math.ceil(4 / (1 - share) ** bits)
+    return radius, bits, math.ceil(4 / (1 - share) ** bits)
 
 
 def _wide_links(radius: int):
@@ -273,7 +287,7 @@ def _wide_links(radius: int):
 
 
 def similar_links(nodes: DataFrame, similarity: float, n: int) -> DataFrame:
-    """Edges between nodes(node, w0, w1, ...) whose fingerprints differ in no more bits than the similarity allows."""
+    """Candidate edges between nodes(node, w0, w1, ...) whose fingerprints differ in no more bits than the radius."""
     radius, bits, tables = sampling(similarity, n)
     rng = np.random.default_rng(5)
     literal = []
@@ -294,23 +308,103 @@ def similar_links(nodes: DataFrame, similarity: float, n: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(_wide_links(radius)), "u long, v long")
 
 
+def _exact_links(similarity: float):
+    """Reads rows (label, i, j, side, node, found) sorted by group and block pair; yields a spanning forest of the pairs at or over the similarity."""
+
+    def flush(left, right, out):
+        both = left + right
+        nodes, sizes = [n for n, _ in both], np.array([len(f) for _, f in both])
+        ids = np.unique(np.concatenate([f for _, f in both]), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        held, group = np.zeros(len(ids), np.int32), np.arange(len(both))
+        for a in range(len(left)):
+            base = len(left) if right else a + 1
+            if base == len(both):
+                break
+            own = ids[starts[a] : starts[a + 1]]
+            held[own] = 1
+            shared = np.add.reduceat(held[ids[starts[base] :]], starts[base:-1] - starts[base])
+            held[own] = 0
+            near = base + np.nonzero(shared / (sizes[a] + sizes[base:] - shared) >= similarity)[0]
+            tied, one = np.unique(group[near], return_index=True)
+            for g, k in zip(tied.tolist(), one.tolist(), strict=True):
+                if g != group[a]:
+                    out.append((nodes[a], nodes[near[k]]))
+            if len(tied):
+                group[np.isin(group, tied)] = group[a]
+
+    def run(batches):
+        at, left, right, out = None, [], [], []
+        for batch in batches:
+            keys = zip(*[batch.column(c).to_pylist() for c in ("label", "i", "j", "side", "node")], strict=True)
+            for (label, i, j, side, node), found in zip(keys, batch.column("found"), strict=True):
+                if (label, i, j) != at:
+                    if left and (right or at[1] == at[2]):
+                        flush(left, right, out)
+                    at, left, right = (label, i, j), [], []
+                if raw := found.as_py():  # a text without words is like no other
+                    (right if side else left).append((node, np.frombuffer(raw, np.uint64)))
+            if out:
+                yield batch_of(out)
+                out = []
+        if left and (right or at[1] == at[2]):
+            flush(left, right, out)
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return run
+
+
+def exact_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges that connect exactly the texts(label, node, text) of one label whose Jaccard similarity is at least this.
+
+    The shingle sets are written once. A label of many texts, or of long ones, is split into
+    blocks, whose pairs are compared by different tasks; n texts of two blocks give at most
+    n - 1 edges, never all their pairs.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["label", "node", "found"])
+
+    sets = materialise(spread(texts).mapInArrow(tidy(run), "label long, node long, found binary"), "wide-sets")
+    sizes = sets.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("found") / 8).alias("s")).where("n > 1")
+    sizes = sizes.select("label", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / PIECES)).cast("int").alias("b"))
+    shared = sets.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("b")).cast("int"))
+    shared = shared.select("label", "node", "found", "own", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("o"))
+    dealt = shared.select("label", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "found")
+    links = materialise(dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(tidy(_exact_links(similarity)), "u long, v long"), "wide-exact")
+    release(sets)
+    return links
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component of near-duplicates; its columns as they were.
 
-    Texts link if their wide SimHashes of word shingles are as close as those of texts of
-    this Jaccard similarity are on average. Covering tables exist for a few bits only, so
-    candidates come from tables of sampled bits instead, whose number grows with the input.
+    Texts link if the Jaccard similarity of their sets of word shingles is at least this.
+    Covering tables exist for a few bits only, so wide SimHashes meet in tables of sampled
+    bits, whose number grows with the input. Those within a wide radius make groups, and
+    every pair of a group is decided by its shingle sets.
     """
     words = [f"w{k}" for k in range(WIDE)]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), row_key(id_col, text_col).alias("row"))
     rows = materialise(spread(texts).mapInArrow(tidy(_wide_rows(shingle)), "id long, row long, " + ", ".join(f"{w} long" for w in words)), "wide")
     lead = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     nodes = materialise(rows.groupBy(*words).agg(F.min(lead).alias("first")).withColumn("node", F.xxhash64(*words)), "wide-nodes")
-    links = materialise(similar_links(nodes.select("node", *words), similarity, nodes.count()), "wide-links")
+    release(rows)
+    near = materialise(similar_links(nodes.select("node", *words), similarity, nodes.count()), "wide-near")
+    groups = components(near, "wide-groups")
+    chosen = nodes.join(groups, "node").select(F.col("first.row").alias("row"), "node", "label")
+    grouped_texts = texts.join(chosen, "row").dropDuplicates(["node"]).select("label", "node", "text")
+    links = exact_links(grouped_texts, shingle, similarity)
     labels = components(links, "wide-cc")
     grouped = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     keep = materialise(grouped.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_simhash_row")), "wide-keep")
-    release(rows, nodes, links, labels)
+    release(nodes, near, groups, links, labels)
     out = docs.withColumn("_simhash_row", row_key(id_col, text_col)).join(keep, "_simhash_row", "left_semi")
     return out.dropDuplicates(["_simhash_row"]).select(*docs.columns)
 

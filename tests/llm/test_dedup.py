@@ -119,6 +119,35 @@ def test_deduplicate_against_jaccard(spark):
     assert got == set(first) and 60 < len(got) < len(rows)
 
 
+def test_deduplicate_judges_repeated_lines_by_distinct_shingles(spark, monkeypatch):
+    """A repeated line neither links texts that share nothing else nor parts near copies."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    line = rng.choices(words, k=12)
+    a, b, c = (rng.choices(words, k=300) for _ in range(3))
+    texts = [a + line * 40, b + line * 40, c + line, c + line * 20]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    for _ in range(2):
+        assert {r.doc_id for r in simhash.deduplicate(docs(spark, rows)).select("doc_id").collect()} == {0, 1, 2}
+        monkeypatch.setattr(simhash, "PIECES", 200)
+        monkeypatch.setattr(simhash, "BLOCK", 2)
+
+
+def test_deduplicate_decides_by_exact_similarity(spark):
+    """Pairs just over and just under 0.8, which fingerprints cannot tell apart."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    rows, want = [], set()
+    for k in range(40):
+        base = rng.choices(words, k=204)  # 200 shingles; the last m of the words changed: (200 - m) / (200 + m)
+        for m in (0, 22 if k % 2 else 23):
+            rows.append((len(rows), " ".join(base[: 204 - m] + [f"x{k}.{i}" for i in range(m)])))
+            if m != 22:
+                want.add(rows[-1][0])
+    got = {r.doc_id for r in simhash.deduplicate(docs(spark, rows)).select("doc_id").collect()}
+    assert got == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5001), (5001, 5000), (6000, 6000)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
