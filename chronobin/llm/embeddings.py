@@ -2,15 +2,20 @@
 
 Vectors that can be compared (not null, finite, not zero) are normalised in double precision;
 copies of one vector collapse to one node. Centroids of the coarse lists and the residual
-codebooks are fitted on a sample bounded by SAMPLE; every vector is indexed in its nearest
-list of its label's share. A query probes the PROBES nearest lists whose distance is within
-2 * sqrt(2 - 2 * threshold) of its nearest one: beyond that no vector of the list can link.
+codebooks are fitted on a sample bounded by SAMPLE for each of the INDEXED most frequent
+lengths; every other vector is compared exactly. Vectors of a length and label are dealt to
+blocks, and each pair of blocks is compared by one task, so no pair is left out.
+
+In a task, members lie in their nearest list. A query probes every list that can hold a link:
+a vector within r = sqrt(2 - 2 * threshold) of it is in the list only if the query is no
+farther than r beyond the plane that halves the way from its own list's centre to that one's.
 In a list, distances come from asymmetric table lookups on the residual codes; what is not
-clearly too far is compared by exact cosine, so no link below the threshold is ever returned.
+clearly too far is compared by exact cosine. All bounds are exact: no link is missed and none
+below the threshold is returned. In many dimensions they leave most lists, so the work is
+quadratic in the vectors of a label.
 
-A list's links are summed per query and joined by a spanning forest, so a list of n vectors
-gives at most n edges, never its pairs. Queries of a list are dealt in chunks of CHUNK, and
-its members in blocks of BLOCK, to different tasks.
+Links are summed per vector and joined by a spanning forest, so two blocks of n vectors give
+at most n - 1 edges, never their pairs. Queries are taken CHUNK at a time.
 
 Defined results: vectors with null or non-finite components, zero vectors, null vectors, other
 lengths and null labels link with nothing and are components of their own; copies link with
@@ -25,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, release
+from .common import components, materialise
 
 #: Bound on the rows that the quantisers are fitted on.
 SAMPLE = 20_000
-PROBES, LISTS, MOST_LISTS, PARTS, CODES = 8, 64, 1024, 8, 32
+LISTS, PARTS, CODES = 64, 8, 32
 CHUNK, BLOCK = 2048, 4096
-#: Vectors that a coarse list should hold, and the cells of a distance matrix held at once.
-LIST_SIZE, CELLS = 2000, 1 << 20
+#: Components of a block at most, and the cells of a distance matrix held at once.
+WIDTH, CELLS = 1 << 20, 1 << 20
+#: Lengths that get an index at most, and the vectors under which a length gets none.
+INDEXED, LEAST = 8, 256
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -64,6 +71,13 @@ class Index:
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return np.argmin(self.distances(x), axis=1)
 
+    def within(self, x: np.ndarray, r: float) -> np.ndarray:
+        """(query, list): whether the list can hold a vector within r of the query."""
+        d = self.distances(x) ** 2
+        own = d.argmin(1)
+        apart = self.distances(self.coarse)
+        return d - d.min(1)[:, None] <= 2 * r * apart[own] + 1e-6
+
     def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and the length of what the codes leave out."""
         codes = np.empty((len(rest), len(self.books)), np.uint8)
@@ -89,77 +103,81 @@ def _unit(raw: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _deal(index: Index, reach: float, probes: int):
-    """Rows (node, label, v, copies) to members, one each, and queries, one a probed list."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column("v"))
-            d = index.distances(x)
-            order = np.argsort(d, axis=1)[:, :probes]
-            near = np.take_along_axis(d, order, 1)
-            ok = near <= near[:, :1] + reach + 1e-9
-            who, at = np.nonzero(ok)
-            lists = np.concatenate([order[:, 0], order[who, at]])
-            rows = np.concatenate([np.arange(len(x)), who])
-            side = np.concatenate([np.zeros(len(x), np.int32), np.ones(len(who), np.int32)])
-            took = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(lists.astype(np.int32)), pa.array(side)], names=[*took.schema.names, "list", "side"])
-
-    return run
-
-
-def _links(index: Index, threshold: float):
-    """One (label, list, block, chunk): exact links between its queries and members."""
+def _links(indexes: dict[int, Index], threshold: float):
+    """One (dim, label, i, j): exact links between two blocks, or within one."""
+    r = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
     def run(key, table):
         import pyarrow.compute as pc
 
-        members, queries = table.filter(pc.equal(table["side"], 0)), table.filter(pc.equal(table["side"], 1))
-        empty = pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        if not members.num_rows or not queries.num_rows:
-            return empty
-        centre = index.coarse[key[1].as_py()]
-        mx, qx = _unit(members["v"]), _unit(queries["v"])
-        codes, left = index.encode(mx - centre)
-        m_node, m_copies, q_node = members["node"].to_numpy(), members["copies"].to_numpy(), queries["node"].to_numpy()
-        r = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-        group = np.arange(len(mx))  # members' components so far
-        place = {x: k for k, x in enumerate(m_node.tolist())}
+        dim, within = key[0].as_py(), key[2] == key[3]
+        left, right = table.filter(pc.equal(table["side"], 0)), table.filter(pc.equal(table["side"], 1))
         node, other, n = [], [], []
-        step = max(1, CELLS // max(1, len(mx)))
-        for at in range(0, len(qx), step):
-            part = qx[at : at + step]
-            tables = index.tables(part - centre)
-            approx = np.zeros((len(part), len(mx)))
-            for p in range(codes.shape[1]):
-                approx += tables[:, p, codes[:, p]]
-            # An asymmetric distance is off by the length of what the member's codes leave out, at most.
-            close = (np.sqrt(approx) <= r + left) & (m_node != q_node[at : at + len(part), None])
-            for i in np.nonzero(close.any(1))[0].tolist():
-                near = np.nonzero(close[i])[0]
-                near = near[(mx[near] * part[i]).sum(1) >= threshold]
-                if not len(near):
-                    continue
-                q = int(q_node[at + i])
+        if left.num_rows and (within or right.num_rows):
+            mx = _unit(left["v"])
+            qx = mx if within else _unit(right["v"])
+            first = 0 if within else len(mx)  # the first query's place among all
+            parts = [left] if within else [left, right]
+            nodes, copies = (np.concatenate([t[c].to_numpy() for t in parts]) for c in ("node", "copies"))
+            total, group = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+            for q, near in _near(indexes.get(dim), mx, qx, within, r, threshold):
+                q += first
+                total[q] += copies[near].sum()
+                if not within:
+                    total[near] += copies[q]
                 tied, one = np.unique(group[near], return_index=True)
-                mine = group[place[q]] if q in place else tied[0]
-                ends = [int(m_node[near[k]]) for k, g in zip(one.tolist(), tied.tolist(), strict=True) if g != mine or q not in place]
-                if len(tied) > 1 or tied[0] != mine:
-                    group[np.isin(group, [*tied, mine])] = mine
-                total = int(m_copies[near].sum())
-                for k, end in enumerate(ends or [None]):
-                    node.append(q)
-                    other.append(end)
-                    n.append(0 if k else total)
+                for g, k in zip(tied.tolist(), one.tolist(), strict=True):
+                    if g != group[q]:
+                        node.append(int(nodes[q]))
+                        other.append(int(nodes[near[k]]))
+                        n.append(0)
+                if len(tied) > 1 or tied[0] != group[q]:
+                    group[np.isin(group, tied)] = group[q]
+            found = np.nonzero(total)[0]
+            node += nodes[found].tolist()
+            other += [None] * len(found)
+            n += total[found].tolist()
         return pa.table({"node": pa.array(node, pa.int64()), "other": pa.array(other, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.93, probes: int = PROBES, lists: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def _near(index: Index | None, mx: np.ndarray, qx: np.ndarray, within: bool, r: float, threshold: float):
+    """(query, members) of exact cosines of at least the threshold; without an index every member is compared."""
+    lists = [(None, np.arange(len(mx)), None, None)]
+    if index:
+        at = index.nearest(mx)
+        lists = []
+        for k in np.unique(at).tolist():
+            members = np.nonzero(at == k)[0]
+            lists.append((k, members, *index.encode(mx[members] - index.coarse[k])))
+    for start in range(0, len(qx), CHUNK):
+        chunk = qx[start : start + CHUNK]
+        ok = index.within(chunk, r) if index else None
+        for k, members, codes, left in lists:
+            who = np.nonzero(ok[:, k])[0] if index else np.arange(len(chunk))
+            step = max(1, CELLS // len(members))
+            for at in range(0, len(who), step):
+                some = who[at : at + step]
+                if index:
+                    tables = index.tables(chunk[some] - index.coarse[k])
+                    approx = np.zeros((len(some), len(members)))
+                    for p in range(codes.shape[1]):
+                        approx += tables[:, p, codes[:, p]]
+                    # An asymmetric distance is off by the length of what the member's codes leave out, at most.
+                    close = approx <= (r + left) ** 2
+                else:
+                    close = chunk[some] @ mx.T >= threshold - 1e-9
+                if within:
+                    close &= members != (start + some)[:, None]
+                for i in np.nonzero(close.any(1))[0].tolist():
+                    near = members[close[i]]
+                    near = near[(mx[near] * chunk[some[i]]).sum(1) >= threshold]
+                    if len(near):
+                        yield start + int(some[i]), near
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.93, lists: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component, kept) of every row."""
     kind = "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"
     v = F.col(vec_col).cast(kind)
@@ -170,33 +188,23 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, probes: int = PROBES
     rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("label", F.transform("v", lambda x: x.cast("double") + F.lit(0.0)))))
     nodes = materialise(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "pq-nodes")
     n = nodes.count()
-    dims = [x[0] for x in nodes.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
-    found = None
-    for dim in dims:
-        own = nodes.where(F.size("v") == dim)
+    nodes_of = nodes.select(F.size("v").alias("dim"), "label", "node", "copies", "v")
+    common = nodes_of.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (0 if lists else LEAST)).orderBy(F.desc("n"), "dim").limit(INDEXED).collect()
+    indexes = {}
+    for dim in [x["dim"] for x in common]:
         share = min(1.0, SAMPLE / max(1, n))
-        picked = own.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("v").limit(2 * SAMPLE)
+        picked = nodes_of.where(F.col("dim") == dim).where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("v").limit(2 * SAMPLE)
         sample = picked.toArrow()
-        if not sample.num_rows:
-            continue
-        index = Index(_unit(sample["v"]), lists or min(MOST_LISTS, max(LISTS, n // LIST_SIZE)))
-        reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        dealt = own.select("node", "label", "v", "copies").mapInArrow(_deal(index, reach, probes), f"node long, label string, v {kind}, copies long, list int, side int")
-        dealt = materialise(dealt, "pq-lists")
-        sizes = dealt.groupBy("label", "list").agg(F.sum(1 - F.col("side")).alias("m"), F.sum("side").alias("q"))
-        sizes = sizes.where("m > 0 AND q > 0").select("label", "list", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("q") / CHUNK).cast("int").alias("nc"))
-        both = dealt.join(sizes, ["label", "list"])
-        salt = F.xxhash64("node", F.lit(2))
-        member = F.col("side") == 0
-        blocks = F.when(member, F.array(F.pmod(salt, F.col("nb")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
-        chunks = F.when(member, F.sequence(F.lit(0), F.col("nc") - 1)).otherwise(F.array(F.pmod(salt, F.col("nc")).cast("int")))
-        split = both.withColumn("block", F.explode(blocks)).withColumn("chunk", F.explode(chunks)).select("label", "list", "block", "chunk", "node", "copies", "side", "v")
-        # Dealt anew: else the join's partitioning by list, which also satisfies the grouping, would keep a hot list together.
-        split = split.repartition("label", "list", "block", "chunk")
-        part = materialise(split.groupBy("label", "list", "block", "chunk").applyInArrow(_links(index, threshold), "node long, other long, n long"), "pq-links")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
+        if sample.num_rows:
+            indexes[dim] = Index(_unit(sample["v"]), lists or LISTS)
+    most = F.least(F.lit(BLOCK), F.greatest(F.lit(64), F.floor(F.lit(WIDTH) / F.col("dim"))))
+    sizes = nodes_of.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("m")).select("dim", "label", F.ceil(F.col("m") / most).cast("int").alias("b"))
+    shared = nodes_of.join(sizes, ["dim", "label"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("b")).cast("int"))
+    shared = shared.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    split = shared.select("dim", "label", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "copies", "v")
+    # Dealt anew: else the join's partitioning by label, which also satisfies the grouping, would keep a hot label together.
+    split = split.repartition("dim", "label", "i", "j")
+    found = materialise(split.groupBy("dim", "label", "i", "j").applyInArrow(_links(indexes, threshold), "node long, other long, n long"), "pq-links")
     counts = found.groupBy("node").agg(F.sum("n").alias("links"))
     labels = components(found.where("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")), "pq-cc")
     grouped = nodes.select("node", "first", "copies").join(labels.select("node", F.col("label").alias("cc")), "node", "left").withColumn("cc", F.coalesce("cc", "node"))

@@ -207,3 +207,20 @@ def test_embeddings_lists_are_split(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CHUNK", 8)
     assert {(r.n_links, r.component) for r in embeddings.near_duplicates(df, lists=2).collect()} == {(59, 0)}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lists", [64, 256, 1024])
+def test_embeddings_find_links_just_over_the_threshold(spark, monkeypatch, lists):
+    """Links between vectors of different lists, however many lists there are."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1100, 64))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    side = rng.normal(size=v.shape)
+    side -= (side * v).sum(1)[:, None] * v
+    side /= np.sqrt((side * side).sum(1))[:, None]
+    both = np.concatenate([v, 0.932 * v + np.sqrt(1 - 0.932**2) * side])
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embeddings, "BLOCK", 900)
+    monkeypatch.setattr(embeddings, "SAMPLE", 1200)
+    got = {r.id: (r.n_links, r.component) for r in embeddings.near_duplicates(df, lists=lists).collect()}
+    assert got == {i: (1, i % 1100) for i in range(2200)}
