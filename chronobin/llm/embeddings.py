@@ -187,12 +187,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, lists: int | None =
     # A node is a distinct vector of a label; its number is a hash of both, so all rows find it without a join.
     rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("label", F.transform("v", lambda x: x.cast("double") + F.lit(0.0)))))
     nodes = materialise(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "pq-nodes")
-    n = nodes.count()
     nodes_of = nodes.select(F.size("v").alias("dim"), "label", "node", "copies", "v")
     common = nodes_of.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (0 if lists else LEAST)).orderBy(F.desc("n"), "dim").limit(INDEXED).collect()
     indexes = {}
-    for dim in [x["dim"] for x in common]:
-        share = min(1.0, SAMPLE / max(1, n))
+    for dim, n in [(x["dim"], x["n"]) for x in common]:
+        share = min(1.0, SAMPLE / n)
         picked = nodes_of.where(F.col("dim") == dim).where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("v").limit(2 * SAMPLE)
         sample = picked.toArrow()
         if sample.num_rows:

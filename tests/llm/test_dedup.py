@@ -224,3 +224,20 @@ def test_embeddings_find_links_just_over_the_threshold(spark, monkeypatch, lists
     monkeypatch.setattr(embeddings, "SAMPLE", 1200)
     got = {r.id: (r.n_links, r.component) for r in embeddings.near_duplicates(df, lists=lists).collect()}
     assert got == {i: (1, i % 1100) for i in range(2200)}
+
+
+def test_embeddings_of_rare_lengths_link(spark, monkeypatch):
+    """Few vectors of one length among many of another, and more lengths than get an index."""
+    monkeypatch.setattr(embeddings, "SAMPLE", 40)
+    monkeypatch.setattr(embeddings, "INDEXED", 3, raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).tolist(), 1) for i in range(4000)]
+    want = {i: (0, i) for i in range(4000)}
+    for dim in range(8, 33):
+        x = rng.normal(size=dim)
+        for k in range(2):
+            at = len(rows)
+            rows.append((at, (x + rng.normal(size=dim) * 0.01).tolist(), 1))
+            want[at] = (1, at - k)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.id: (r.n_links, r.component) for r in embeddings.near_duplicates(df).collect()} == want
