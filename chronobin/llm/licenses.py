@@ -1,7 +1,7 @@
 """License scans by sparse TF-IDF cosine and directory inheritance; DataFrame operations only.
 
-Passages are the lines and sentences of whole texts that hold an anchor word. Each distinct
-passage becomes a sparse TF-IDF vector (document frequencies are the templates'; words of no
+Passages are the lines and sentences of whole texts; those without any of the words that a
+cosine of THRESHOLD needs are passed over. Each other distinct passage becomes a sparse TF-IDF vector (document frequencies are the templates'; words of no
 template weigh most) and is compared with every template by joining on the words they share.
 A file's own license is that of its passage with the greatest cosine of at least THRESHOLD.
 Licence files speak for their directory; a file without a license of its own takes that of the
@@ -44,8 +44,6 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal license."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: A passage without any of these is not a notice.
-ANCHOR = r"(?i)licen[cs]|public domain|hereby granted|redistribution and use"
 THRESHOLD = 0.6
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 PASSAGES = r"\n+|(?<=[.;!?])[ \t]+"
@@ -67,12 +65,62 @@ def vectors(templates=TEMPLATES) -> tuple[dict[str, float], float, list[dict[str
     return idf, math.log(n + 1) + 1, units
 
 
+#: Words of the templates that are frequent in any prose, the most frequent first.
+COMMON = "the of to a in and this is with or for you may not by use any file work free under into person associated subject terms public general version domain".split()
+
+
+def anchor(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """A pattern that every passage with a cosine of at least the threshold to some template matches.
+
+    The cosine is at most the norm of the template's unit vector over the words they share. So
+    words whose squares sum to less than threshold ** 2 can't reach it alone: the most frequent ones,
+    then the lightest, are left out while that holds, and a passage needs one of the rest.
+    """
+    needed: set[str] = set()
+    for unit in vectors(templates)[2]:
+        rest = 0.0
+        for w in sorted(unit, key=lambda w: (COMMON.index(w) if w in COMMON else len(COMMON), unit[w], w)):
+            if rest + unit[w] ** 2 < threshold**2 - 1e-4:
+                rest += unit[w] ** 2
+            else:
+                needed.add(w)
+    ends = [re.escape(w) + ("" if "." in w else "(?![a-z0-9])") for w in sorted(needed)]
+    return "(?i)(?<![a-z])(?:" + "|".join(ends) + ")"
+
+
+ANCHOR = anchor()
+
+
 def _postings(spark: SparkSession, templates) -> DataFrame:
     """(word, idf, t, x): a few hundred rows whatever the input."""
     idf, _, units = vectors(templates)
     return spark.createDataFrame([(w, idf[w], t, x) for t, u in enumerate(units) for w, x in u.items()], "word string, idf double, t int, x double")
 
 
+def _reaches(passage: Column, templates, threshold: float) -> Column:
+    """Whether a passage's cosine can reach the threshold: its exact dots over a norm in which every word of no template counts once.
+
+    Row by row, so that only the passages that remain are dealt out by word.
+    """
+    idf, unknown, units = vectors(templates)
+    names = list(idf)
+
+    def bound(tf):
+        at = {w: F.get(tf, F.lit(k)) for k, w in enumerate(names)}
+        known = sum((at[w] * at[w] * F.lit(idf[w] ** 2) for w in names), F.lit(0.0))
+        norm = known + F.get(tf, F.lit(len(names))) * F.lit(unknown**2)
+        dots = [sum((at[w] * F.lit(idf[w] * x) for w, x in u.items()), F.lit(0.0)) for u in units]
+        best = F.greatest(*dots, F.lit(0.0))
+        return (best > 0) & (best >= F.sqrt(norm) * F.lit(threshold - 1e-5))
+
+    def counted(tokens):
+        tf = [F.size(tokens) - F.size(F.array_remove(tokens, F.lit(w))) for w in names]
+        rest = F.size(F.array_except(tokens, F.array(*[F.lit(w) for w in names])))
+        return F.exists(F.array(F.array(*[c.cast("double") for c in [*tf, rest]])), bound)
+
+    return F.exists(F.array(F.regexp_extract_all(F.lower(passage), F.lit(TOKEN), F.lit(0))), counted)
+
+
 def classify(passages: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(passage, t, cosine) of distinct passages(passage): the best template of those at or over the threshold."""
     spark = passages.sparkSession
@@ -92,11 +140,16 @@ def classify(passages: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     return key.join(found, "k").select("passage", "t", "cosine")
 
 
-def scan(files: DataFrame, path: Column, text: Column, speaks: Column, key: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, path, license, score, origin, from_dir) of every file. speaks: whether the file is a licence file."""
+def scan(files: DataFrame, path: Column, text: Column, speaks: Column, key: Column, templates=TEMPLATES, threshold: float = THRESHOLD, last: Column | None = None) -> DataFrame:
+    """(key, path, license, score, origin, from_dir) of every file. speaks: whether the file is a licence file; last: the part of its text that must hold a notice for it to speak."""
+    needed = anchor(templates, threshold)
     names = F.array(*[F.lit(n) for n, _ in templates])
-    rows = files.select(key.alias("key"), path.alias("path"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(speaks, F.lit(False)).alias("speaks"))
-    passages = rows.where(F.col("text").rlike(ANCHOR)).select("key", "path", "speaks", F.explode(F.array_distinct(F.split("text", PASSAGES))).alias("passage")).where(F.col("passage").rlike(ANCHOR))
+    rows = files.select(key.alias("key"), path.alias("path"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(speaks, F.lit(False)).alias("speaks"), F.coalesce(F.lit("") if last is None else last, F.lit("")).alias("last"))
+    passages = rows.where(F.lower("text").rlike(needed)).select("key", "path", "speaks", "last", F.explode(F.array_distinct(F.split("text", PASSAGES))).alias("passage")).where(F.lower("passage").rlike(needed))
+    passages = passages.where(_reaches(F.col("passage"), templates, threshold))
+    if last is not None:
+        passages = passages.withColumn("speaks", F.col("speaks") & F.array_contains(F.split("last", PASSAGES), F.col("passage")))
+    passages = passages.drop("last")
     passages = materialise(passages, "license-passages")
     best = passages.join(classify(passages, templates, threshold), "passage")
     rank = F.struct("cosine", (-F.col("t")).alias("order"))
@@ -125,6 +178,6 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     d = F.col("doc_id")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(d / 1000).cast("string"), F.floor(d / 100).cast("string"), d.cast("string"))
-    ends = F.substring_index(F.rtrim(F.col("text")), "\n", -1).rlike(ANCHOR)
-    found = scan(docs, path, F.col("text"), ends, d)
+    last = F.substring_index(F.rtrim(F.col("text")), "\n", -1)
+    found = scan(docs, path, F.col("text"), F.lit(True), d, last=last)
     return found.select(F.col("key").alias("doc_id"), "path", "license", "score", "origin", "from_dir")

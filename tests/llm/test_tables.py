@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -175,3 +176,21 @@ def test_licenses(spark):
         assert (got[k].license, got[k].score, got[k].origin, got[k].from_dir) == (*(own or (None, None)), origin, where), files[k]
     assert got[3].from_dir == "a/b" and got[1].license == "MIT" and got[5].license == "GPL-2.0"
     assert licenses.scan(df.limit(0), F.col("path"), F.col("text"), F.col("speaks"), F.col("k")).count() == 0
+
+
+def test_licenses_score_every_passage_that_can_reach_the_threshold(spark):
+    notices = [
+        ("CC BY 4.0, Creative Commons Attribution", "CC-BY-4.0"), ("Available under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("CC0 1.0 Universal", "CC0-1.0"),
+        ("Permission is granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT"),
+        ("Use and redistribution in source and binary forms, with or without modification, are permitted", "BSD-3-Clause"),
+    ]
+    df = spark.createDataFrame([(k, f"d{k}/f", f"Some prose.\n{t}") for k, (t, _) in enumerate(notices)], "k long, path string, text string")
+    got = {r.key: r.license for r in licenses.scan(df, F.col("path"), F.col("text"), F.lit(True), F.col("k")).collect()}
+    assert got == {k: n for k, (_, n) in enumerate(notices)}
+    # Any words of a template that reach the threshold hold one that the gate asks for.
+    rng = random.Random(4)
+    for unit in licenses.vectors()[2]:
+        for _ in range(3000):
+            some = rng.sample(sorted(unit), rng.randint(1, len(unit)))
+            if sum(unit[w] ** 2 for w in some) >= licenses.THRESHOLD**2:
+                assert re.search(licenses.ANCHOR, " ".join(some))
