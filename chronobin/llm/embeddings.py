@@ -1,26 +1,30 @@
 """Embedding near-dedup by product quantisation within inverted lists.
 
 Vectors that can be compared (not null, finite, not zero) are normalised in double precision;
-copies of one vector collapse to one node. Centroids of the coarse lists and the residual
-codebooks are fitted on a sample bounded by SAMPLE for each of the INDEXED most frequent
-lengths; every other vector is compared exactly. Vectors of a length and label are dealt to
-blocks, and each pair of blocks is compared by one task, so no pair is left out.
-
-In a task, members lie in their nearest list. A query probes every list that can hold a link:
-a vector within r = sqrt(2 - 2 * threshold) of it is in the list only if the query is no
-farther than r beyond the plane that halves the way from its own list's centre to that one's.
-In a list, distances come from asymmetric table lookups on the residual codes; what is not
-clearly too far is compared by exact cosine. All bounds are exact: no link is missed and none
-below the threshold is returned. In many dimensions they leave most lists, so the work is
-quadratic in the vectors of a label.
-
-Links are summed per vector and joined by a spanning forest, so two blocks of n vectors give
-at most n - 1 edges, never their pairs. Queries are taken CHUNK at a time.
+copies of one vector collapse to one node. For each length a coarse quantiser and residual
+codebooks are fitted on a sample bounded by SAMPLE. The number of lists grows with the largest
+label of the length, so a label's list holds about LIST vectors at any size.
+
+Every vector is a member of its nearest list, and visits the lists after it that may hold a
+link: those whose halving plane towards the own list is no farther than `slack`. Sufficient
+probes are measured, not guessed: for pairs of the sample that link, and for pairs made at the
+threshold itself, slack is the distance that reaches the partner's list in RECALL of the
+cases, for which a few lists do, while the exact bound (the distance of a link) would take
+nearly all in many dimensions. So a link at the threshold is found with about that
+probability, closer ones more surely, and the work is far from quadratic.
+
+A label's list is one task. Members and visitors of a list over BLOCK rows are dealt to
+blocks, and each pair of blocks is a task. There, distances come from asymmetric table lookups
+on the members' residual codes; what is not clearly too far is compared by exact cosine, so
+no link below the threshold is returned. Links are summed per vector and joined by a spanning
+forest, so a task of n vectors gives at most n - 1 edges, never their pairs.
 
 Defined results: vectors with null or non-finite components, zero vectors, null vectors, other
 lengths and null labels link with nothing and are components of their own; copies link with
 each other; a null id counts as a row but leads no component unless alone; an empty table
-gives no rows; extra columns are ignored.
+gives no rows; very long vectors make smaller blocks; extra columns are ignored. Lengths with
+fewer than LEAST vectors, and those after the INDEXED most frequent ones, have one list, in
+which all pairs of blocks are compared exactly.
 """
 
 from __future__ import annotations
@@ -30,16 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, release, tidy
 
-#: Bound on the rows that the quantisers are fitted on.
-SAMPLE = 20_000
-LISTS, PARTS, CODES = 64, 8, 32
-CHUNK, BLOCK = 2048, 4096
+#: Bound on the rows of a length that its quantisers are fitted on, and rows of it that the slack is measured on.
+SAMPLE, MEASURED = 65_536, 2000
+#: Vectors of a label's list, sampled vectors a list needs, parts of a residual and codes of a part.
+LIST, PER_LIST, PARTS, CODES = 1024, 16, 8, 256
+#: Share of the links at the threshold that the probes reach.
+RECALL = 0.998
+CHUNK, BLOCK = 1024, 4096
 #: Components of a block at most, and the cells of a distance matrix held at once.
 WIDTH, CELLS = 1 << 20, 1 << 20
 #: Lengths that get an index at most, and the vectors under which a length gets none.
-INDEXED, LEAST = 8, 256
+INDEXED, LEAST = 64, 256
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -47,7 +54,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = np.argmin(((centres**2).sum(1) - 2 * x @ centres.T), axis=1)
+        near = _nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)
@@ -55,45 +62,72 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum(0, (x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step = max(1, CELLS // len(centres))
+    return np.concatenate([_squares(x[at : at + step], centres).argmin(1) for at in range(0, len(x), step)])
+
+
 class Index:
-    """Coarse centroids and the codebooks of the residual's parts."""
+    """Coarse centroids, the slack of their planes, and the codebooks of the residual's parts."""
 
-    def __init__(self, sample: np.ndarray, lists: int = LISTS, parts: int = PARTS, codes: int = CODES):
+    def __init__(self, sample: np.ndarray, lists: int, threshold: float, parts: int = PARTS, codes: int = CODES):
         dim = sample.shape[1]
         self.cuts = np.linspace(0, dim, min(parts, dim) + 1).astype(int)
         self.coarse = _kmeans(sample, lists)
-        rest = sample - self.coarse[self.nearest(sample)]
+        self.apart = np.sqrt(_squares(self.coarse, self.coarse))
+        rest = sample - self.coarse[_nearest(sample, self.coarse)]
         self.books = [_kmeans(np.ascontiguousarray(rest[:, a:b]), codes) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+        self.slack = self._measure(sample, threshold)
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T))
-
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        return np.argmin(self.distances(x), axis=1)
-
-    def within(self, x: np.ndarray, r: float) -> np.ndarray:
-        """(query, list): whether the list can hold a vector within r of the query."""
-        d = self.distances(x) ** 2
+    def planes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(own list, distance from each vector to the plane that halves the way from its own list's centre to each other's)."""
+        d = _squares(x, self.coarse)
         own = d.argmin(1)
-        apart = self.distances(self.coarse)
-        return d - d.min(1)[:, None] <= 2 * r * apart[own] + 1e-6
+        out = (d - d.min(1)[:, None]) / np.maximum(2 * self.apart[own], 1e-12)
+        out[np.arange(len(x)), own] = 0
+        return own, out
+
+    def _measure(self, sample: np.ndarray, threshold: float) -> float:
+        """The slack that reaches the partner's list in RECALL of the links at the threshold, and of those within the sample."""
+        rng = np.random.default_rng(1)
+        dim = sample.shape[1]
+        far = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+        if len(self.coarse) == 1 or dim == 1:
+            return far
+        some = sample[rng.choice(len(sample), min(MEASURED, len(sample)), replace=False)]
+        side = rng.normal(size=some.shape)
+        side -= (side * some).sum(1)[:, None] * some
+        made = threshold * some + np.sqrt(max(0.0, 1 - threshold**2)) * side / np.maximum(np.sqrt((side**2).sum(1)), 1e-12)[:, None]
+        _, planes = self.planes(some)
+        needs = [planes[np.arange(len(some)), _nearest(made, self.coarse)]]
+        others = sample[rng.choice(len(sample), min(8 * MEASURED, len(sample)), replace=False)]
+        homes = _nearest(others, self.coarse)
+        found = []
+        for at in range(0, len(some), 64):
+            q, other = np.nonzero(some[at : at + 64] @ others.T >= threshold)
+            found.append(planes[at + q, homes[other]])
+        needs.append(np.concatenate(found))
+        return min(far, max(float(np.quantile(n, RECALL)) for n in needs if len(n)))
 
     def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and the length of what the codes leave out."""
         codes = np.empty((len(rest), len(self.books)), np.uint8)
         left = np.zeros(len(rest))
         for p, (book, a, b) in enumerate(zip(self.books, self.cuts, self.cuts[1:], strict=False)):
-            d = (rest[:, a:b] ** 2).sum(1)[:, None] + (book**2).sum(1) - 2 * rest[:, a:b] @ book.T
+            d = _squares(rest[:, a:b], book)
             codes[:, p] = d.argmin(1)
-            left += np.maximum(0, d.min(1))
+            left += d.min(1)
         return codes, np.sqrt(left)
 
-    def tables(self, rest: np.ndarray) -> np.ndarray:
-        """(query, part, code): squared distances of the queries' residual parts to the codes."""
-        out = np.full((len(rest), len(self.books), max(len(b) for b in self.books)), np.inf)
+    def lookup(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(query, member): squared distances of the queries' residuals to the coded ones, a table a part."""
+        out = np.zeros((len(rest), len(codes)), np.float32)
         for p, (book, a, b) in enumerate(zip(self.books, self.cuts, self.cuts[1:], strict=False)):
-            part = rest[:, a:b]
-            out[:, p, : len(book)] = np.maximum(0, (part**2).sum(1)[:, None] + (book**2).sum(1) - 2 * part @ book.T)
+            out += np.take(_squares(rest[:, a:b], book).astype(np.float32), codes[:, p], axis=1)
         return out
 
 
@@ -103,78 +137,97 @@ def _unit(raw: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _links(indexes: dict[int, Index], threshold: float):
-    """One (dim, label, i, j): exact links between two blocks, or within one."""
+def _places(shared):
+    """Rows (dim, label, node, copies, v) once as members of their list (visits false) and once for each list that they visit."""
+
+    def run(batches):
+        indexes: dict[int, Index] = shared.value
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                rows = np.nonzero(dims == dim)[0]
+                for at in range(0, len(rows), CHUNK):
+                    some = rows[at : at + CHUNK]
+                    part = batch.take(pa.array(some))
+                    who, lists, visits = np.arange(len(some)), np.zeros(len(some), np.int64), np.zeros(len(some), bool)
+                    if index := indexes.get(dim):
+                        own, planes = index.planes(_unit(part.column("v")))
+                        # The later list is visited by the earlier one's vectors, so a pair meets once.
+                        q, to = np.nonzero((planes <= index.slack + 1e-9) & (np.arange(planes.shape[1]) > own[:, None]))
+                        who, lists, visits = np.concatenate([who, q]), np.concatenate([own, to]), np.concatenate([visits, np.ones(len(q), bool)])
+                    out = part.take(pa.array(who))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lists.astype(np.int32)), pa.array(visits)], names=[*out.schema.names, "list", "visits"])
+
+    return run
+
+
+def _links(shared, threshold: float):
+    """One (dim, label, list, i, j): exact links between two blocks of a list, or within one."""
     r = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
     def run(key, table):
         import pyarrow.compute as pc
 
-        dim, within = key[0].as_py(), key[2] == key[3]
-        left, right = table.filter(pc.equal(table["side"], 0)), table.filter(pc.equal(table["side"], 1))
-        node, other, n = [], [], []
-        if left.num_rows and (within or right.num_rows):
-            mx = _unit(left["v"])
-            qx = mx if within else _unit(right["v"])
-            first = 0 if within else len(mx)  # the first query's place among all
-            parts = [left] if within else [left, right]
-            nodes, copies = (np.concatenate([t[c].to_numpy() for t in parts]) for c in ("node", "copies"))
-            total, group = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-            for q, near in _near(indexes.get(dim), mx, qx, within, r, threshold):
-                q += first
+        dim, place, within = key[0].as_py(), key[2].as_py(), key[3] == key[4]
+        table = table.combine_chunks()
+        sides, visits = table["side"].to_numpy(), table["visits"].to_numpy(zero_copy_only=False)
+        nodes, copies, x = table["node"].to_numpy(), table["copies"].to_numpy(), _unit(table["v"]) if table.num_rows else np.zeros((0, 1))
+        total, group, made = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), []
+        rounds = [(np.nonzero(~visits)[0], np.arange(len(nodes)))] if within else [(np.nonzero((sides == 0) & ~visits)[0], np.nonzero(sides == 1)[0]), (np.nonzero((sides == 1) & ~visits)[0], np.nonzero((sides == 0) & visits)[0])]
+        for members, queries in rounds:
+            if not len(members) or not len(queries):
+                continue
+            for q, near in _near(shared.value.get(dim), place, x, members, queries, r, threshold):
+                if within and not visits[q]:
+                    near = near[near > q]  # members of one block meet once
                 total[q] += copies[near].sum()
-                if not within:
-                    total[near] += copies[q]
+                total[near] += copies[q]
                 tied, one = np.unique(group[near], return_index=True)
                 for g, k in zip(tied.tolist(), one.tolist(), strict=True):
                     if g != group[q]:
-                        node.append(int(nodes[q]))
-                        other.append(int(nodes[near[k]]))
-                        n.append(0)
-                if len(tied) > 1 or tied[0] != group[q]:
+                        made.append((int(nodes[q]), int(nodes[near[k]]), 0))
+                if len(tied) and (len(tied) > 1 or tied[0] != group[q]):
                     group[np.isin(group, tied)] = group[q]
-            found = np.nonzero(total)[0]
-            node += nodes[found].tolist()
-            other += [None] * len(found)
-            n += total[found].tolist()
-        return pa.table({"node": pa.array(node, pa.int64()), "other": pa.array(other, pa.int64()), "n": pa.array(n, pa.int64())})
+        found = np.nonzero(total)[0]
+        made += zip(nodes[found].tolist(), [None] * len(found), total[found].tolist(), strict=True)
+        return pa.table({n: pa.array([m[k] for m in made], pa.int64()) for k, n in enumerate(("node", "other", "n"))})
 
     return run
 
 
-def _near(index: Index | None, mx: np.ndarray, qx: np.ndarray, within: bool, r: float, threshold: float):
+def _near(index: Index | None, place: int, x: np.ndarray, members: np.ndarray, queries: np.ndarray, r: float, threshold: float):
     """(query, members) of exact cosines of at least the threshold; without an index every member is compared."""
-    lists = [(None, np.arange(len(mx)), None, None)]
+    mx = x[members]
     if index:
-        at = index.nearest(mx)
-        lists = []
-        for k in np.unique(at).tolist():
-            members = np.nonzero(at == k)[0]
-            lists.append((k, members, *index.encode(mx[members] - index.coarse[k])))
-    for start in range(0, len(qx), CHUNK):
-        chunk = qx[start : start + CHUNK]
-        ok = index.within(chunk, r) if index else None
-        for k, members, codes, left in lists:
-            who = np.nonzero(ok[:, k])[0] if index else np.arange(len(chunk))
-            step = max(1, CELLS // len(members))
-            for at in range(0, len(who), step):
-                some = who[at : at + step]
-                if index:
-                    tables = index.tables(chunk[some] - index.coarse[k])
-                    approx = np.zeros((len(some), len(members)))
-                    for p in range(codes.shape[1]):
-                        approx += tables[:, p, codes[:, p]]
-                    # An asymmetric distance is off by the length of what the member's codes leave out, at most.
-                    close = approx <= (r + left) ** 2
-                else:
-                    close = chunk[some] @ mx.T >= threshold - 1e-9
-                if within:
-                    close &= members != (start + some)[:, None]
-                for i in np.nonzero(close.any(1))[0].tolist():
-                    near = members[close[i]]
-                    near = near[(mx[near] * chunk[some[i]]).sum(1) >= threshold]
-                    if len(near):
-                        yield start + int(some[i]), near
+        codes, left = index.encode(mx - index.coarse[place])
+        # An asymmetric distance is off by the length of what the member's codes leave out, at most.
+        bound = ((r + left) ** 2 + 1e-4).astype(np.float32)
+    step = max(1, min(CHUNK, CELLS // len(members)))
+    for at in range(0, len(queries), step):
+        some = queries[at : at + step]
+        close = index.lookup(x[some] - index.coarse[place], codes) <= bound if index else x[some] @ mx.T >= threshold - 1e-9
+        for i in np.nonzero(close.any(1))[0].tolist():
+            q = int(some[i])
+            near = close[i].nonzero()[0]
+            near = near[(mx[near] * x[q]).sum(1) >= threshold]
+            near = members[near]
+            near = near[near != q]
+            if len(near):
+                yield q, near
+
+
+def _indexes(nodes: DataFrame, threshold: float, lists: int | None) -> dict[int, Index]:
+    """An index for each of the most frequent lengths; its lists grow with the length's largest label."""
+    sizes = nodes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("m"))
+    common = sizes.groupBy("dim").agg(F.sum("m").alias("n"), F.max("m").alias("m")).where(F.col("n") >= (0 if lists else LEAST)).orderBy(F.desc("n"), "dim").limit(INDEXED).collect()
+    out = {}
+    for dim, n, m in [(x["dim"], x["n"], x["m"]) for x in common]:
+        share = min(1.0, SAMPLE / n)
+        picked = nodes.where(F.col("dim") == dim).where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("node", "v").limit(2 * SAMPLE)
+        sample = picked.toArrow().sort_by("node")
+        if sample.num_rows:
+            out[dim] = Index(_unit(sample["v"]), lists or max(1, min(-(-m // LIST), sample.num_rows // PER_LIST)), threshold)
+    return out
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, lists: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -184,32 +237,32 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, lists: int | None =
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     good = F.col(vec_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(finite, F.lit(False))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.when(good, v).alias("v"))
-    # A node is a distinct vector of a label; its number is a hash of both, so all rows find it without a join.
-    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("label", F.transform("v", lambda x: x.cast("double") + F.lit(0.0)))))
-    nodes = materialise(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "pq-nodes")
-    nodes_of = nodes.select(F.size("v").alias("dim"), "label", "node", "copies", "v")
-    common = nodes_of.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (0 if lists else LEAST)).orderBy(F.desc("n"), "dim").limit(INDEXED).collect()
-    indexes = {}
-    for dim, n in [(x["dim"], x["n"]) for x in common]:
-        share = min(1.0, SAMPLE / n)
-        picked = nodes_of.where(F.col("dim") == dim).where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("v").limit(2 * SAMPLE)
-        sample = picked.toArrow()
-        if sample.num_rows:
-            indexes[dim] = Index(_unit(sample["v"]), lists or LISTS)
+    # A node is a distinct vector of a label; two hashes, 128 bits, of both are its key, so all rows find it without their vectors.
+    plain = F.transform("v", lambda x: x.cast("double") + F.lit(0.0))
+    there = F.col("v").isNotNull()
+    rows = rows.withColumn("a", F.when(there, F.xxhash64("label", plain))).withColumn("b", F.when(there, F.xxhash64(F.lit("b"), "label", plain)))
+    firsts = rows.where(there).groupBy("a", "b").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    nodes = materialise(firsts.withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "pq-nodes")
+    shared = df.sparkSession.sparkContext.broadcast(_indexes(nodes, threshold, lists))
+    fields = f"dim int, label string, node long, copies long, v {kind}, list int, visits boolean"
+    placed = materialise(nodes.select("dim", "label", "node", "copies", "v").mapInArrow(tidy(_places(shared)), fields), "pq-places")
     most = F.least(F.lit(BLOCK), F.greatest(F.lit(64), F.floor(F.lit(WIDTH) / F.col("dim"))))
-    sizes = nodes_of.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("m")).select("dim", "label", F.ceil(F.col("m") / most).cast("int").alias("b"))
-    shared = nodes_of.join(sizes, ["dim", "label"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("b")).cast("int"))
-    shared = shared.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    split = shared.select("dim", "label", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "copies", "v")
-    # Dealt anew: else the join's partitioning by label, which also satisfies the grouping, would keep a hot label together.
-    split = split.repartition("dim", "label", "i", "j")
-    found = materialise(split.groupBy("dim", "label", "i", "j").applyInArrow(_links(indexes, threshold), "node long, other long, n long"), "pq-links")
+    sizes = placed.groupBy("dim", "label", "list").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("dim", "label", "list", F.ceil(F.col("m") / most).cast("int").alias("b"))
+    dealt = placed.join(sizes, ["dim", "label", "list"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("b")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    split = dealt.select("dim", "label", "list", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "visits", "node", "copies", "v")
+    # Dealt anew: else the join's partitioning by list, which also satisfies the grouping, would keep a hot list together.
+    split = split.repartition("dim", "label", "list", "i", "j")
+    found = materialise(split.groupBy("dim", "label", "list", "i", "j").applyInArrow(_links(shared, threshold), "node long, other long, n long"), "pq-links")
+    release(placed)
     counts = found.groupBy("node").agg(F.sum("n").alias("links"))
     labels = components(found.where("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")), "pq-cc")
-    grouped = nodes.select("node", "first", "copies").join(labels.select("node", F.col("label").alias("cc")), "node", "left").withColumn("cc", F.coalesce("cc", "node"))
+    grouped = nodes.select("node", "a", "b", "first", "copies").join(labels.select("node", F.col("label").alias("cc")), "node", "left").withColumn("cc", F.coalesce("cc", "node"))
     least = grouped.groupBy("cc").agg(F.min("first").alias("component"))
-    facts = materialise(grouped.join(least, "cc").join(counts, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"), "pq-facts")
-    out = rows.select("id", "node").join(facts, "node", "left")
+    facts = materialise(grouped.join(least, "cc").join(counts, "node", "left").select("a", "b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"), "pq-facts")
+    release(nodes, found, labels)
+    shared.destroy()
+    out = rows.select("id", "a", "b").join(facts, ["a", "b"], "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
