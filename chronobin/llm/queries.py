@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op6_urlfilter": urlfilter.OP6_SQL, "op10_warc": warc.OP10_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op5_sharding": sharding.op5_sql(), "op6_urlfilter": urlfilter.OP6_SQL, "op9_licenses": licenses.op9_sql(), "op10_warc": warc.OP10_SQL}

@@ -12,7 +12,8 @@ confined to those subtrees. `grown` adds a shard as a region of its own, so the
 is new is that shard's and it alone takes rows (law `key`).
 
 Defined results: null texts count 0 bytes and have the CRC of the empty string; rows with a
-null id, like rows of one id, go to one shard and differ in slot; an empty table gives no rows.
+null id, like rows of one id, go to one shard and differ in slot; rows that repeat take a range
+of slots; very long texts only count; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ Tree = tuple[tuple[tuple[float, ...], ...], ...]
 #: Two regions of four racks of five equal shards: 40.
 TREE: Tree = tuple(tuple((1.0,) * 5 for _ in range(4)) for _ in range(2))
 OVERHEAD = 16
-#: Rows that one slot bucket should hold at most on average, and the least number of buckets a shard.
-SLOT_ROWS, SLOT_BUCKETS = 50_000, 64
+#: Rows that one slot bucket should hold at most on average, the least bits of a bucket, rows of a class's part, and bits of the hash that orders slots.
+SLOT_ROWS, SLOT_BITS, PART_ROWS, HASH_BITS = 50_000, 6, 50_000, 60
 
 
 def grown(tree: Tree, weight: float = 1.0) -> Tree:
@@ -43,8 +44,9 @@ def shard_count(tree: Tree) -> int:
 
 
 def _draw(key: Column, *place: Column) -> Column:
-    """-ln(u), u in (0, 1) of 52 bits."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, *place), 12)
+    """-ln(u), u in (0, 1) of 52 bits of MD5, which any SQL engine has too."""
+    text = F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), *[p.cast("string") for p in place])
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
     return -F.ln((bits + F.lit(0.5)) / F.lit(2.0**52))
 
 
@@ -90,32 +92,63 @@ def assign(df: DataFrame, key: str, tree: Tree, into: str) -> DataFrame:
     return out.withColumn(into, (_table(first, r, q) + leaf).cast("int")).drop("_region", "_rack")
 
 
-def slots(df: DataFrame, total: int, shard: str, key: str, order: list[str], into: str = "slot") -> DataFrame:
-    """df with a gapless number from 0 within each shard.
+def slots(rows: DataFrame, total: int, shards: int, into: str = "slot") -> DataFrame:
+    """Each of rows(shard, ..., _h, _part, _n) _n times, with a gapless number from 0 within its shard, in order of _h.
 
-    Rows are numbered in (shard, hash bucket) groups that have a bounded size whatever the
-    shard's, and the groups' counts, a row each, give the offsets.
+    Rows are numbered in (shard, leading bits of _h) groups, which hold a bounded number of
+    classes whatever the shard's size, and the groups' counts, a row each, give the offsets.
+    Equal rows are one class in parts of up to PART_ROWS rows: a part takes a range of slots and
+    parts are dealt out anew before they become rows, so a class of a third of all rows is no
+    single task's.
     """
-    n = max(SLOT_BUCKETS, 1 << math.ceil(math.log2(max(1.0, total / (40 * SLOT_ROWS)))))
-    bucket = F.pmod(F.xxhash64(F.lit("slot"), F.col(key), *[F.col(c) for c in order]), F.lit(n)).cast("int")
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(shard, "_bucket").orderBy(key, *order)
-    numbered = rows.withColumn("_at", F.row_number().over(within) - 1)
-    return numbered.join(offsets, [shard, "_bucket"]).withColumn(into, (F.col("_from") + F.col("_at")).cast("long")).drop("_bucket", "_from", "_at")
+    bits = max(SLOT_BITS, math.ceil(math.log2(max(1.0, total / (shards * SLOT_ROWS)))))
+    cols = [c for c in rows.columns if c not in ("_h", "_part", "_n")]
+    parts = rows.withColumn("_bucket", F.shiftright("_h", HASH_BITS - bits))
+    before = Window.partitionBy("shard", "_bucket").orderBy("_h", *[c for c in cols if c != "shard"], "_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = rows.groupBy("shard", F.shiftright("_h", HASH_BITS - bits).alias("_bucket")).agg(F.sum("_n").alias("_all"))
+    earlier = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_from", F.coalesce(F.sum("_all").over(earlier), F.lit(0))).drop("_all")
+    starts = parts.join(offsets, ["shard", "_bucket"]).withColumn("_first", (F.col("_from") + F.col("_at")).cast("long"))
+    one = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n").cast("long") - 1)).alias(into)
+    return starts.repartition("_h", "_part").select(*cols, one)
 
 
 def shard_documents(docs: DataFrame, tree: Tree = TREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = materialise(assign(assign(rows, "doc_id", tree, "shard"), "doc_id", grown(tree), "grown_shard"), "shards")
-    out = slots(rows, rows.count(), "shard", "doc_id", ["text_crc32", "size"])
+    # What repeats in a partition of the input is counted there, before any shuffle.
+    rows = rows.withColumn("_task", F.spark_partition_id()).groupBy("doc_id", "size", "text_crc32", "_task").agg(F.count(F.lit(1)).alias("_count"))
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_count") / PART_ROWS) - 1)))
+    rows = rows.withColumn("_n", F.least(F.lit(PART_ROWS), F.col("_count") - F.col("_chunk") * PART_ROWS)).withColumn("_part", F.struct("_task", "_chunk")).drop("_task", "_chunk", "_count")
+    rows = assign(assign(rows, "doc_id", tree, "shard"), "doc_id", grown(tree), "grown_shard")
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")
+    rows = materialise(rows.withColumn("_h", F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")), "shards")
+    out = slots(rows, rows.agg(F.sum("_n")).first()[0] or 0, shard_count(tree))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 of all documents under the law `key`."""
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op5_sql() -> str:
+    """The same over whole tables in DuckDB; CRC-32 is folded over the bytes, with its table made by its rule."""
+    u = lambda *place: f"-ln((CAST('0x' || substr(md5(concat_ws(':', k, {', '.join(place)})), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    least = lambda n, weights, *place: f"list_aggregate(list_transform(range({n}), lambda j: {{'d': {u(*place, 'CAST(j AS VARCHAR)')} / ({weights})[CAST(j AS INTEGER) + 1], 'j': j}}), 'min').j"
+    return rf"""
+WITH RECURSIVE t8(i, c, n) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM t8 WHERE n < 8),
+tab AS (SELECT list(c ORDER BY i) AS v FROM t8 WHERE n = 8),
+b AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, coalesce(text, '') AS text FROM documents),
+h AS (SELECT doc_id, k, octet_length(encode(text)) AS n, hex(encode(text)) AS x FROM b),
+c AS (SELECT doc_id, k, CAST(n + {OVERHEAD} AS BIGINT) AS size,
+        xor(list_reduce(list_transform(range(n), lambda p: CAST('0x' || substr(x, 2 * p + 1, 2) AS BIGINT)), lambda a, y: xor(a >> 8, v[CAST(xor(a, y) & 255 AS INTEGER) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM h, tab),
+r AS (SELECT *, {least(2, '[20.0::DOUBLE, 20]', "'0'")} AS region, {least(3, '[20.0::DOUBLE, 20, 1]', "'0'")} AS grown FROM c),
+q AS (SELECT *, {least(4, '[5.0::DOUBLE, 5, 5, 5]', "'1'", 'CAST(region AS VARCHAR)')} AS rack FROM r),
+s AS (SELECT *, CAST(region * 20 + rack * 5 + {least(5, '[1.0::DOUBLE, 1, 1, 1, 1]', "'2'", 'CAST(region AS VARCHAR)', 'CAST(rack AS VARCHAR)')} AS INTEGER) AS shard,
+        CAST('0x' || substr(md5(concat_ws(':', k, CAST(size AS VARCHAR), CAST(text_crc32 AS VARCHAR))), 1, {HASH_BITS // 4}) AS BIGINT) AS o FROM q)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY o, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+  CASE WHEN grown = 2 THEN 40 ELSE shard END AS grown_shard FROM s
+"""
