@@ -144,7 +144,7 @@ tab AS (SELECT list(c ORDER BY i) AS v FROM t8 WHERE n = 8),
 b AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, coalesce(text, '') AS text FROM documents),
 h AS (SELECT doc_id, k, octet_length(encode(text)) AS n, hex(encode(text)) AS x FROM b),
 c AS (SELECT doc_id, k, CAST(n + {OVERHEAD} AS BIGINT) AS size,
-        xor(list_reduce(list_transform(range(n), lambda p: CAST('0x' || substr(x, 2 * p + 1, 2) AS BIGINT)), lambda a, y: xor(a >> 8, v[CAST(xor(a, y) & 255 AS INTEGER) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM h, tab),
+        xor(list_reduce(list_transform(regexp_extract_all(x, '..'), lambda y: CAST('0x' || y AS BIGINT)), lambda a, z: xor(a >> 8, v[CAST(xor(a, z) & 255 AS INTEGER) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM h, tab),
 r AS (SELECT *, {least(2, '[20.0::DOUBLE, 20]', "'0'")} AS region, {least(3, '[20.0::DOUBLE, 20, 1]', "'0'")} AS grown FROM c),
 q AS (SELECT *, {least(4, '[5.0::DOUBLE, 5, 5, 5]', "'1'", 'CAST(region AS VARCHAR)')} AS rack FROM r),
 s AS (SELECT *, CAST(region * 20 + rack * 5 + {least(5, '[1.0::DOUBLE, 1, 1, 1, 1]', "'2'", 'CAST(region AS VARCHAR)', 'CAST(rack AS VARCHAR)')} AS INTEGER) AS shard,

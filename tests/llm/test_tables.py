@@ -133,22 +133,43 @@ def brute_url(url, rules):
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-    fits = [(len(h + p), len(h), h + p, a) for a, h, p in ((a, h.lower(), p) for a, h, p in rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    best = max(fits, default=(0, 0, None, "allow"))
-    return host, path, best[2], best[3]
+    fits = [(len(h + p), len(h), n, h + p, a) for n, (a, h, p) in enumerate((a, h.lower(), p) for a, h, p in rules) if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, 0, 0, None, "allow"))
+    return host, path, best[3], best[4]
 
 
 URLS = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/7", "https://a.example.com/en/71?x", "http://xexample.com/en/7", "http://com/en/", "http://net/de/", "http://example.net/de/8/x", "http://a.example.net/de/8/x", "http://b.a.example.net/de/8", "http://example.org?q=/es/", "http://example.org/es/#top", "x://y://z.org/es/", "http://example.com:80/en/7", "http://.com/en/", "http://com./en/", "http://é.org/es/é", "http://İ.COM/en/"]
 
 
+#: Equal lengths (the longer host wins), repeated rules (the last stands), paths within paths.
+TIES = [("block", "b", "/xx"), ("allow", "a.b", "/"), ("allow", "q.b", "/x"), ("block", "q.b", "/x"), ("allow", "b", "/xx/y"), ("block", "a.b", "/xx"), ("allow", "a.b", "/xx"), ("block", "z.a.b", "")]
+TIED = [f"http://{h}{p}" for h in ("b", "a.b", "q.b", "c.q.b", "z.a.b", "y.z.a.b", "ab", "B") for p in ("", "/", "/x", "/xx", "/xx/y/z", "/xy?q=/xx")]
+
+
 @pytest.mark.parametrize("block", [1, 3, 1000])
 def test_url_rules(spark, monkeypatch, block):
+    """Few rules, shipped to the tasks, and many, by ranges, give the same verdicts."""
     monkeypatch.setattr(urlfilter, "RULES", block)
-    rows = [(k, u, "h", "r") for k, u in enumerate(URLS * 2)] + [(None, URLS[4], "h", "r")]
+    monkeypatch.setattr(urlfilter, "RANGE_URLS", 10)
+    rules, table = RULES + TIES, None
+    rows = [(k, u, "h", "r") for k, u in enumerate(URLS * 2 + TIED + [URLS[4]] * 30)] + [(None, URLS[4], "h", "r"), (0, URLS[0], "h", "r"), (5000, "http://a.b/xx" + "x" * 100_000, "h", "r")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
-    got = {(r.id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df, RULES).collect()}
-    assert got == {(k, *brute_url(u, RULES)) for k, u, _, _ in rows}
-    assert urlfilter.judge(df.limit(0), RULES).count() == 0 and {r.verdict for r in urlfilter.judge(df, [], "block").collect()} == {"block"}
+    want = Counter((k, *brute_url(u, rules)) for k, u, _, _ in rows)
+    table = spark.createDataFrame([(*r, n) for n, r in enumerate([*rules, ("block", None, "/en")])], "action string, host string, path string, n int").repartition(3)
+    for given in (rules, table):
+        assert Counter(tuple(r) for r in urlfilter.judge(df, given).select("id", "host", "path", "rule", "verdict").collect()) == want
+    assert urlfilter.judge(df.limit(0), rules).count() == 0 and {r.verdict for r in urlfilter.judge(df, [], "block").collect()} == {"block"}
+
+
+def test_many_url_rules_take_no_longer_a_url():
+    """200,000 hosts and 100,000 paths of one host: a sweep gallops over the rules and tries paths by their lengths."""
+    import time
+
+    many = urlfilter.Rules([*[("block", f"h{k}.com", "/a") for k in range(200_000)], *[("block", "one.org", f"/p/{k}") for k in range(100_000)]])
+    urls = [(f"x.h{k * 37 % 200_000}.com", "/ab") for k in range(1000)] + [("www.one.org", f"/p/{k}/q") for k in range(1000)]
+    began = time.perf_counter()
+    found = many.sweep(urls)
+    assert time.perf_counter() - began < 1 and all(found) and found[1001] == ("one.org/p/1", "block")
 
 
 def units_of(text):
