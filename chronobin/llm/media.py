@@ -3,13 +3,22 @@
 `mux` stores a payload as one private elementary stream: 188-byte packets with a program
 association table, a program map table, and PES packets of PES_UNITS payload units each. Every
 PES packet has a 90 kHz presentation timestamp; every RAP_EVERY-th starts with the
-random-access indicator and a program clock reference. `demux` parses any such stream: it
-follows PAT and PMT, checks continuity counters packet by packet, reassembles the elementary
-packets and returns their timestamps and random-access points.
-
-Defined results: a null payload is empty; an empty payload has its tables and no PES packet;
-equal payloads give equal bytes. Truncated or foreign bytes raise ValueError in demux, and
-lost packets show as continuity errors.
+random-access indicator and a program clock reference.
+
+`demux` parses transport streams of others too: it follows the tables, of one packet or more,
+to every program's elementary streams (network entries are no programs), checks continuity
+counters packet by packet (a repeated packet counts once, a signalled discontinuity is none),
+reassembles PES packets with or without lengths and timestamps, and returns each stream with
+its timestamps, packet offsets and random-access points. What it can't read raises ValueError,
+never an empty payload: partial packets, no sync byte, broken or missing tables, a program
+without streams, scrambled payloads, PES packets without start code or, where no packet was
+lost, of another length than they say.
+
+Defined results: a null payload is stored as an empty one; an empty payload has its tables and
+no PES packet; equal payloads give equal bytes; null media parse to nulls; very long payloads
+are one value, of a size that a binary value can have; rows that repeat stay; an empty table
+gives no rows; columns named like those that `parse` adds are replaced. Lost packets show as
+continuity errors.
 """
 
 from __future__ import annotations
@@ -22,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, tidy
+from .common import materialise, spread, tidy
 
 #: Fixed values of ISO/IEC 13818-1, and this stream's identifiers.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, PROGRAM, STREAM_TYPE, STREAM_ID = 188, 0x47, 0, 0x1000, 0x100, 1, 0x06, 0xBD
@@ -88,96 +97,204 @@ def mux(payload: bytes) -> bytes:
 
 
 @dataclass
-class Stream:
-    """What demux found. pts and offsets (first packet) are a PES packet's; random_access holds PES numbers."""
+class Elementary:
+    """One stream of a program. pts (None where a PES packet has none) and offsets (of its first packet) are a PES packet's; random_access holds PES numbers."""
 
-    program: int = 0
-    stream_type: int = 0
-    packets: int = 0
+    program: int
+    pid: int
+    stream_type: int
     continuity_errors: int = 0
-    pts: list[int] = field(default_factory=list)
+    pts: list[int | None] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
     pcr: list[int] = field(default_factory=list)
     payload: bytes = b""
 
 
-def _table(payload: bytes, table_id: int) -> bytes:
-    section = payload[1 + payload[0] :]
-    size = 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)
-    if section[0] != table_id or size > len(section) or _crc32_mpeg(section[:size]) != 0:
-        raise ValueError("broken program table")
-    return section[8 : size - 4]
+@dataclass
+class Stream:
+    """What demux found: all elementary streams by packet id, the first of the first program's first."""
+
+    packets: int
+    streams: dict[int, Elementary]
+
+    @property
+    def first(self) -> Elementary:
+        return next(iter(self.streams.values()))
 
+    def __getattr__(self, name):
+        return getattr(self.first, name)
 
-_KNOWN: dict[tuple[bytes, int], bytes] = {}
 
+_KNOWN: dict[bytes, bool] = {}
 
-def _parsed(payload: bytes, table_id: int) -> bytes:
+
+def _checked(section: bytes) -> None:
     """Sections repeat from stream to stream; each is checked once a worker."""
-    if (payload, table_id) not in _KNOWN:
+    if section not in _KNOWN:
         if len(_KNOWN) > 1000:
             _KNOWN.clear()
-        _KNOWN[payload, table_id] = _table(payload, table_id)
-    return _KNOWN[payload, table_id]
+        _KNOWN[section] = _crc32_mpeg(section) == 0
+    if not _KNOWN[section]:
+        raise ValueError("broken program table")
+
+
+class _Sections:
+    """Reassembles the sections of one packet id."""
+
+    def __init__(self):
+        self.held, self.open = b"", False
+
+    def add(self, payload: bytes, start: bool):
+        """Whole sections that this packet ends."""
+        if start:
+            if not payload or payload[0] >= len(payload):
+                raise ValueError("broken program table")
+            if self.open:
+                self.held += payload[1 : 1 + payload[0]]
+                yield from self._whole()
+            self.held, self.open = payload[1 + payload[0] :], True
+        elif self.open:
+            self.held += payload
+        yield from self._whole()
+
+    def _whole(self):
+        while self.open and len(self.held) >= 3 and self.held[0] != 0xFF:
+            size = 3 + (int.from_bytes(self.held[1:3], "big") & 0xFFF)
+            if len(self.held) < size:
+                return
+            section, self.held = self.held[:size], self.held[size:]
+            _checked(section)
+            yield section
+        if self.held[:1] == b"\xff":
+            self.held, self.open = b"", False
+
+
+class _Pes:
+    """Reassembles the PES packets of one elementary stream."""
+
+    #: Fixed values of the standard: stream ids without the optional header.
+    BARE = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF))
+
+    def __init__(self, out: Elementary):
+        self.out, self.parts, self.open, self.bodies, self.faults = out, [], False, [], 0
+
+    def start(self, at: int) -> None:
+        self.flush()
+        self.open = True
+        self.out.offsets.append(at)
+
+    def flush(self) -> None:
+        if not self.open:
+            return
+        data, out = b"".join(self.parts), self.out
+        self.parts, self.open = [], False
+        if data[:3] != b"\x00\x00\x01" or len(data) < 6:
+            raise ValueError("no PES start code")
+        size, at, pts = int.from_bytes(data[4:6], "big"), 6, None
+        if data[3] not in self.BARE:
+            if len(data) < 9 or data[6] & 0xC0 != 0x80:
+                raise ValueError("broken PES header")
+            at = 9 + data[8]
+            if data[7] & 0x80:
+                h = data[9:14]
+                pts = (h[0] >> 1 & 7) << 30 | h[1] << 22 | h[2] >> 1 << 15 | h[3] << 7 | h[4] >> 1
+        end = 6 + size if size else len(data)
+        if end > len(data) or at > end:
+            self.faults += 1
+        out.pts.append(pts)
+        if data[3] != 0xBE:  # padding
+            self.bodies.append(data[at:end])
 
 
 def demux(media: bytes) -> Stream:
-    """Parse a transport stream of one program with one elementary stream."""
-    if len(media) % PACKET:
+    """Parse a transport stream: all elementary streams of all its programs."""
+    if not media or len(media) % PACKET:
         raise ValueError("not whole packets")
-    out = Stream(packets=len(media) // PACKET)
-    pmt_pid = es_pid = -1
-    counters: dict[int, int] = {}
-    parts: list[bytes] = []
-    sizes: list[int] = []
+    tables: dict[int, _Sections] = {PAT_PID: _Sections()}
+    programs: dict[int, int] = {}  # program map's packet id: program
+    found: dict[int, _Pes] = {}
+    last: dict[int, tuple[int, bytes, bool]] = {}
     for at in range(0, len(media), PACKET):
         if media[at] != SYNC:
             raise ValueError("no sync byte")
         b1, control = media[at + 1], media[at + 3]
         pid = (b1 & 0x1F) << 8 | media[at + 2]
-        start = at + 4
+        pes = found.get(pid)
+        if pes is None and pid not in tables:
+            continue  # null packets, and streams of no program
+        begin, fresh = at + 4, False
         if control & 0x20:
-            length = media[start]
-            if length and pid == es_pid:
-                flags = media[start + 1]
-                if flags & 0x40:
-                    out.random_access.append(len(out.pts))
-                if flags & 0x10:
-                    out.pcr.append(int.from_bytes(media[start + 2 : start + 8], "big") >> 15)
-            start += 1 + length
+            length = media[begin]
+            if length > PACKET - 5:
+                raise ValueError("broken adaptation field")
+            if length:
+                flags = media[begin + 1]
+                fresh = bool(flags & 0x80)
+                if pes and flags & 0x40:
+                    pes.out.random_access.append(len(pes.out.offsets) - (0 if b1 & 0x40 else 1))
+                if pes and flags & 0x10:
+                    pes.out.pcr.append(int.from_bytes(media[begin + 2 : begin + 8], "big") >> 15)
+            begin += 1 + length
         if not control & 0x10:
             continue
-        counter, last = control & 15, counters.get(pid)
-        if last is not None and counter != last + 1 & 15:
-            out.continuity_errors += 1
-        counters[pid] = counter
-        if pid == es_pid:
-            if b1 & 0x40:
-                if media[start : start + 3] != b"\x00\x00\x01":
-                    raise ValueError("no PES start code")
-                head = media[start + 9 : start + 14]
-                out.pts.append((head[0] >> 1 & 7) << 30 | head[1] << 22 | head[2] >> 1 << 15 | head[3] << 7 | head[4] >> 1)
-                out.offsets.append(at)
-                sizes.append(int.from_bytes(media[start + 4 : start + 6], "big") - 3 - media[start + 8])
-                start += 9 + media[start + 8]
-            parts.append(media[start : at + PACKET])
-        elif pid == PAT_PID:
-            body = _parsed(media[start : at + PACKET], 0x00)
-            out.program, pmt_pid = int.from_bytes(body[:2], "big"), int.from_bytes(body[2:4], "big") & 0x1FFF
-        elif pid == pmt_pid:
-            body = _parsed(media[start : at + PACKET], 0x02)
-            info = int.from_bytes(body[2:4], "big") & 0xFFF
-            out.stream_type, es_pid = body[4 + info], int.from_bytes(body[5 + info : 7 + info], "big") & 0x1FFF
-    out.payload = b"".join(parts)
-    if not out.continuity_errors and sum(sizes) != len(out.payload):
-        raise ValueError("PES lengths don't match")
-    return out
+        if b1 & 0x80:  # the receiver marked it as damaged
+            if pes:
+                pes.out.continuity_errors += 1
+            continue
+        if control & 0xC0:
+            raise ValueError("scrambled payload")
+        counter, payload = control & 15, media[begin : at + PACKET]
+        if (before := last.get(pid)) and not fresh:
+            if counter == before[0] and payload == before[1] and not before[2]:
+                last[pid] = (counter, payload, True)
+                if pes and control & 0x20 and media[at + 4] and media[at + 5] & 0x40:
+                    pes.out.random_access.pop()
+                if pes and control & 0x20 and media[at + 4] and media[at + 5] & 0x10:
+                    pes.out.pcr.pop()
+                continue  # a packet may be sent twice
+            if counter != before[0] + 1 & 15 and pes:
+                pes.out.continuity_errors += 1
+        last[pid] = (counter, payload, False)
+        start = bool(b1 & 0x40)
+        if pes:
+            if start:
+                pes.start(at)
+            if pes.open:
+                pes.parts.append(payload)
+            continue
+        for section in tables[pid].add(payload, start):
+            if pid == PAT_PID and section[0] == 0x00:
+                for k in range(8, len(section) - 4, 4):
+                    number, where = int.from_bytes(section[k : k + 2], "big"), int.from_bytes(section[k + 2 : k + 4], "big") & 0x1FFF
+                    if number:  # 0 is the network's table
+                        programs[where] = number
+                        tables.setdefault(where, _Sections())
+            elif section[0] == 0x02 and pid in programs:
+                k = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+                while k + 5 <= len(section) - 4:
+                    where = int.from_bytes(section[k + 1 : k + 3], "big") & 0x1FFF
+                    if where not in found:
+                        found[where] = _Pes(Elementary(int.from_bytes(section[3:5], "big"), where, section[k]))
+                    k += 5 + (int.from_bytes(section[k + 3 : k + 5], "big") & 0xFFF)
+    if not found:
+        raise ValueError("no program with an elementary stream")
+    for pes in found.values():
+        pes.flush()
+        if pes.faults and not pes.out.continuity_errors:
+            raise ValueError("PES lengths don't match")
+        pes.out.payload = b"".join(pes.bodies)
+    order = list(dict.fromkeys(programs.values()))
+    ranked = sorted(found.values(), key=lambda p: order.index(p.out.program) if p.out.program in order else len(order))
+    return Stream(len(media) // PACKET, {p.out.pid: p.out for p in ranked})
 
 
 def feature(s: Stream) -> str:
-    pts = f"{s.pts[0]}-{s.pts[-1]}" if s.pts else "none"
-    return f"program={s.program};type={s.stream_type};packets={s.packets};pes={len(s.pts)};rap={len(s.random_access)};pts={pts};cc_errors={s.continuity_errors}"
+    """What the first stream of the first program is."""
+    e = s.first
+    pts = [t for t in e.pts if t is not None]
+    span = f"{pts[0]}-{pts[-1]}" if pts else "none"
+    return f"program={e.program};type={e.stream_type};packets={s.packets};pes={len(e.pts)};rap={len(e.random_access)};pts={span};cc_errors={e.continuity_errors}"
 
 
 def store(docs: DataFrame, payload_col: str, media_col: str = "media") -> DataFrame:
@@ -196,28 +313,31 @@ def store(docs: DataFrame, payload_col: str, media_col: str = "media") -> DataFr
 
 
 PARSED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>, packet_offsets array<long>"
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
 
 def parse(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """Read stored streams back: the other columns, digests of payload and media, timestamps and random-access points."""
+    """Read stored streams back: the other columns, digests of payload and media, timestamps and random-access points with their packets' offsets."""
+    added = [x.split()[0] for x in PARSED.split(", ")]
+    kept = [c for c in stored.columns if c != media_col and c not in added]
+
+    def facts(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None,) * len(added)
+        s = demux(raw)
+        e = s.first
+        return (len(e.payload), hashlib.sha256(e.payload).hexdigest(), zlib.crc32(e.payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s), e.pts, e.random_access, e.offsets)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = []
-                for media in part.column(media_col):
-                    raw = media.as_py()
-                    s = demux(raw)
-                    p = s.payload
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s), s.pts, s.random_access, s.offsets))
-                keep = [i for i, n in enumerate(part.schema.names) if n != media_col]
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *made], names=[*[part.schema.names[i] for i in keep], *[x.split()[0] for x in PARSED.split(", ")]])
+                rows = [facts(media.as_py()) for media in part.column(media_col)]
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made], names=[*kept, *added])
 
-    fields = "".join(f"`{c}` {t}, " for c, t in stored.dtypes if c != media_col)
-    return stored.mapInArrow(tidy(run), fields + PARSED)
+    kinds = dict(stored.dtypes)
+    return stored.select(*kept, media_col).mapInArrow(tidy(run), "".join(f"`{c}` {kinds[c]}, " for c in kept) + PARSED)
 
 
 def padded(text: F.Column) -> F.Column:
@@ -228,8 +348,8 @@ def padded(text: F.Column) -> F.Column:
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
-    """Digests of every document's payload as read back from its stored transport stream."""
+    """Digests of every document's payload, as read back from the column of transport streams that was written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    stored = store(docs.select("doc_id", n.alias("n_bytes"), padded(F.col("text")).alias("payload")), "payload")
-    return parse(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access")
+    stored = materialise(store(docs.select("doc_id", n.alias("n_bytes"), padded(F.col("text")).alias("payload")), "payload"), "media")
+    return parse(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access", "packet_offsets")

@@ -165,6 +165,66 @@ def test_lost_packets_and_broken_streams():
     assert len(media.demux(raw).random_access) == -(-len(media.demux(raw).pts) // media.RAP_EVERY)
 
 
+def packet(pid, counter, payload, start=False, adapt=None, control=0x10):
+    """A packet made by hand; what is short is stuffed in the adaptation field."""
+    room = 184 - len(payload)
+    if adapt is not None or room:
+        body = b"" if room == 1 and adapt is None else (adapt or b"\x00").ljust(room - 1, b"\xff")
+        payload, control = bytes([len(body)]) + body + payload, control | 0x20
+    assert len(payload) == 184
+    return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, control | counter & 15]) + payload
+
+
+def table(table_id, number, body):
+    head = bytes([table_id]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + number.to_bytes(2, "big") + b"\xc1\x00\x00" + body
+    crc = 0xFFFFFFFF
+    for bit in (b >> k & 1 for b in head for k in range(7, -1, -1)):
+        crc = (crc << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if crc >> 31 ^ bit else 0)
+    return b"\x00" + head + crc.to_bytes(4, "big")
+
+
+def entry(pid, kind, info=b""):
+    return bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(info)).to_bytes(2, "big") + info
+
+
+def foreign():
+    """Two programs after a network entry; program 7 has video without PES lengths, some without timestamps, and audio; its map spans two packets."""
+    pat = table(0, 1, b"\0\0\xe0\x10" + b"\0\x07\xe1\x00" + b"\0\x08\xe2\x00")
+    long_map = table(2, 7, b"\xe1\x01\xf0\x00" + entry(0x101, 0x1B, b"d" * 150) + entry(0x102, 0x0F, b"e" * 40))
+    small_map = table(2, 8, b"\xe2\x01\xf0\x00" + entry(0x201, 0x06))
+    video = b"\0\0\x01\xe0\0\0\x80\x80\x05" + b"\x21\x00\x07\xd8\x61" + b"V" * 300
+    bare = b"\0\0\x01\xe0\0\0\x80\x00\x00" + b"W" * 20
+    audio = b"\0\0\x01\xc0" + (3 + 50).to_bytes(2, "big") + b"\x80\x00\x00" + b"A" * 50 + b"stuffing"
+    return [
+        packet(0, 0, pat.ljust(184, b"\xff"), True), packet(0x100, 0, long_map[:184], True), packet(0x100, 1, long_map[184:].ljust(184, b"\xff")), packet(0x200, 0, small_map.ljust(184, b"\xff"), True),
+        packet(0x1FFF, 0, b"n" * 184), packet(0x101, 14, video[:100], True, b"\x40"), packet(0x101, 15, video[100:284]), packet(0x101, 0, video[284:]), packet(0x102, 3, audio, True),
+        packet(0x101, 1, bare, True), packet(0x201, 9, b"\0\0\x01\xbd\0\x04\x80\x00\x00Z", True),
+    ]
+
+
+def test_foreign_streams():
+    raw = foreign()
+    s = media.demux(b"".join(raw))
+    assert list(s.streams) == [0x101, 0x102, 0x201] and s.packets == len(raw)
+    v, a, z = s.streams.values()
+    assert v.payload == b"V" * 300 + b"W" * 20 and v.pts == [126000, None] and v.random_access == [0] and v.offsets == [5 * 188, 9 * 188] and not v.continuity_errors
+    assert (a.payload, a.pts, a.program, a.stream_type) == (b"A" * 50, [None], 7, 0x0F) and (z.payload, z.program) == (b"Z", 8)
+    twice = media.demux(b"".join(raw[:6] + [raw[5]] + raw[6:8] + [raw[7]] + raw[8:]))
+    assert (twice.payload, twice.random_access, twice.continuity_errors) == (v.payload, [0], 0)
+    thrice = media.demux(b"".join(raw[:7] + [raw[6]] * 2 + raw[7:]))
+    assert thrice.continuity_errors == 1
+    assert media.demux(b"".join(raw[:6] + raw[7:])).continuity_errors == 1
+    jump = packet(0x101, 7, b"\0\0\x01\xe0\0\0\x80\x00\x00J", True, b"\x80")
+    assert media.demux(b"".join([*raw, jump])).continuity_errors == 0 and media.demux(b"".join([*raw, jump])).payload.endswith(b"WJ")
+    scrambled = packet(0x101, 2, b"x" * 184, True, control=0x90)
+    damaged = bytearray(raw[0])
+    damaged[20] ^= 1
+    empty = packet(0, 0, table(0, 1, b"\0\0\xe0\x10").ljust(184, b"\xff"), True)
+    for broken in (b"", b"".join([*raw, scrambled]), bytes(damaged) + b"".join(raw[1:]), b"".join(raw[1:]), empty + b"".join(raw[1:]), b"".join([*raw[:-1], packet(0x201, 9, b"\0\0\x01\xbd\0\x09\x80\x00\x00Z", True)]), b"".join([*raw, packet(0x101, 2, b"no code", True)])):
+        with pytest.raises(ValueError):
+            media.demux(broken)
+
+
 def test_media_columns(spark):
     rows = [(1, "x"), (2, None), (3, ""), (4, "é" * 96), (5, "z" * 50_000), (5, "z" * 50_000), (None, "n")]
     df = spark.createDataFrame([(i, t, 1, "f") for i, t in rows], "doc_id long, text string, media_bytes int, feature string")
@@ -177,6 +237,10 @@ def test_media_columns(spark):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(media.mux(raw)), hashlib.sha256(media.mux(raw)).hexdigest()) and "cc_errors=0" in r.feature
     assert len(got) == len(rows) and media.parse(stored.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "x", "y", None), (2, "x", "y", bytearray(media.mux(b"abc")))], "doc_id long, pts string, feature string, media binary")
+    assert [(r.doc_id, r.payload_bytes, r.pts) for r in media.parse(clash).orderBy("doc_id").collect()] == [(1, None, None), (2, 3, [0])]
+    at = next(r for r in got if r.doc_id == 5)
+    assert all(media.mux(b"z" * 50_000 + b" " * 112)[at.packet_offsets[k] + 5] & 0x40 for k in at.random_access)
 
 
 # -- archives ------------------------------------------------------------------------------
