@@ -2,19 +2,26 @@
 
 `WarcSource` (format "warc") writes one gzip member a record and reads it back:
 * planning: the manifest of each committed write lists its files and, every SPLIT bytes, a
-  record boundary; a partition is such a range. Folders without manifests are read a file each.
+  record boundary; a partition is such a range. Folders without manifests are read a file each
+  (.warc and .warc.gz).
 * push-down: predicates on header columns (record type, ids, uri, digest) are taken by the
   reader and tested as soon as a record's header block is inflated.
 * skipping: a member names its own length in a gzip extra field, so a record that fails a
   predicate, or whose payload is not asked for (option payload=false), is skipped undecoded.
+* archives of others: members without that field, one member of many records, and plain files
+  are walked from header to header by Content-Length; plain files skip payloads by seeking.
+  Header names are of any case, blanks after the colon optional, long lines may be folded.
+  A record of HTTP has its body as payload, any other (warcinfo, metadata, resource) its block;
+  a digest is compared where it is SHA-1 and no transfer coding hides the body.
 Files of failed or repeated task attempts are in no manifest and are never read. Paths are
 opened through pyarrow.fs, so the folder may be in any store that it knows.
 
 Defined results: a null html is an empty payload; of equal payloads of at least min_bytes the
 least page_id is the response (rows that repeat that id are each one) and all others revisit
 it; null page ids revisit if their payload has a page with an id, else they are responses; a
-payload whose digest does not match raises ValueError; empty tables give an empty archive;
-extra columns are not archived.
+payload whose digest does not match raises ValueError; very long payloads are one value each;
+empty tables give an empty archive; extra columns are not archived. `register` switches the
+session's push-down to Python sources on.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import materialise, scratch_path
 
 #: Bytes after which a file ends, bytes between split points, bytes read at a time, and payloads' compression level.
-ROLL, SPLIT, CHUNK, LEVEL = 256 << 20, 8 << 20, 1 << 16, 5
+ROLL, SPLIT, CHUNK, LEVEL = 512 << 20, 128 << 20, 1 << 16, 5
 #: Groups of equal payloads up to which they are broadcast; beyond it the join shuffles.
 BROADCAST_GROUPS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -132,35 +139,136 @@ def _inflate_until(z, source, mark: bytes) -> bytearray | None:
     return out
 
 
+def _headers(block: bytes) -> dict[str, str]:
+    """Names in lower case to values, of a header block without its last blank line."""
+    lines = block.decode("utf-8", "replace").split("\r\n")[1:]
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line.startswith((" ", "\t")) and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _parts(headers: dict, size: int, body: bytes, payload: bool):
+    """(headers, HTTP head, payload or None, bytes of the payload) of a record whose block of `size` bytes begins with body."""
+    cut = body.find(b"\r\n\r\n") + 4 if headers.get("content-type", "").lower().startswith("application/http") else 0
+    head = bytes(body[: max(0, cut)]) if cut > 3 else b""
+    return headers, head, bytes(body[len(head) : size]) if payload else None, size - len(head)
+
+
+def _wanted(headers: dict, payload: bool, size: int) -> int:
+    """Bytes of the block to read at first: all of it, or what an HTTP head may take."""
+    return size if payload else min(size, 1 << 16 if headers.get("content-type", "").lower().startswith("application/http") else 0)
+
+
+class _Inflated:
+    """The concatenated contents of gzip members, read forward."""
+
+    def __init__(self, source):
+        self.source, self.z, self.raw = source, zlib.decompressobj(31), b""
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if not self.raw:
+                self.raw = self.source.read(CHUNK)
+                if not self.raw:
+                    return b""
+            if self.z.eof:
+                self.z = zlib.decompressobj(31)
+            out = self.z.decompress(self.raw, n)
+            self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if out:
+                return out
+
+
+def _walk(source, end: int, keep, payload: bool, skip=None):
+    """Records of a flow of them, from header to header. skip(n): jump ahead, where the source can."""
+    held = bytearray()
+
+    def fill(n: int) -> bool:
+        while len(held) < n:
+            data = source.read(max(CHUNK, n - len(held)))
+            if not data:
+                return False
+            held.extend(data)
+        return True
+
+    at = 0
+    while at < end:
+        while fill(2) and held[:2] == b"\r\n":
+            del held[:2]
+            at += 2
+        if at >= end or not fill(1):
+            return
+        cut = -1
+        while (cut := held.find(b"\r\n\r\n")) < 0:
+            if len(held) > 1 << 20 or not fill(len(held) + 1):
+                raise ValueError("truncated record")
+        if held[:5] != b"WARC/":
+            raise ValueError(f"no record at byte {at}")
+        headers = _headers(bytes(held[:cut]))
+        if "content-length" not in headers:
+            raise ValueError("record without Content-Length")
+        size = int(headers["content-length"])
+        del held[: cut + 4]
+        if keep(headers):
+            if not fill(want := _wanted(headers, payload, size)):
+                raise ValueError("truncated record")
+            yield _parts(headers, size, bytes(held[:want]), payload)
+        at += cut + 4 + size
+        left = size
+        if skip and left > len(held):
+            left -= len(held)
+            held.clear()
+            skip(left)
+            left = 0
+        while left:
+            step = min(left, len(held) or 0)
+            if not step and not fill(1):
+                raise ValueError("truncated record")
+            step = min(left, len(held))
+            del held[:step]
+            left -= step
+
+
 def read_records(stream, start: int, end: int, keep, payload: bool):
-    """(headers, http head, payload or None) of the records that begin in [start, end) and pass keep(headers)."""
-    stream.seek(start)
+    """(headers, HTTP head, payload or None, its bytes) of the records that begin in [start, end) and pass keep(headers)."""
     at = start
     while at < end:
         stream.seek(at)
         first = stream.read(12)
-        if len(first) < 12:
+        if not first:
+            return
+        if first[:2] != b"\x1f\x8b":
+            stream.seek(at)
+            yield from _walk(stream, end - at, keep, payload, lambda n: stream.seek(stream.tell() + n))
+            return
+        extra = stream.read(struct.unpack("<H", first[10:12])[0]) if len(first) == 12 and first[3] & 4 else b""
+        if b"SL" not in extra:
+            stream.seek(at)
+            yield from _walk(_Inflated(stream), 1 << 62, keep, payload)
             return
-        if first[:4] != b"\x1f\x8b\x08\x04":
-            raise ValueError(f"no record at byte {at}")
-        extra = stream.read(struct.unpack("<H", first[10:12])[0])
         length = struct.unpack("<I", extra[extra.index(b"SL") + 4 :][:4])[0]
         z = zlib.decompressobj(-15)
         got = _inflate_until(z, stream, b"\r\n\r\n")
         if got is None:
             raise ValueError(f"truncated record at byte {at}")
         cut = got.index(b"\r\n\r\n")
-        headers = dict(line.split(": ", 1) for line in got[:cut].decode().split("\r\n")[1:])
+        headers = _headers(bytes(got[:cut]))
         if keep(headers):
-            size = int(headers["Content-Length"])
+            size = int(headers["content-length"])
             body = got[cut + 4 :]
             while len(body) < size and (payload or b"\r\n\r\n" not in body):
                 data = z.unconsumed_tail or stream.read(CHUNK)
                 if not data:
                     raise ValueError(f"truncated record at byte {at}")
                 body += z.decompress(data, max(1, size - len(body)) if payload else 1024)
-            split = body.index(b"\r\n\r\n") + 4
-            yield headers, bytes(body[:split]), bytes(body[split:size]) if payload else None
+            yield _parts(headers, size, body, payload)
         at += length
 
 
@@ -187,13 +295,12 @@ class Reader(DataSourceReader):
                 ends = [*x["splits"][1:], x["size"]]
                 out += [Range(f"{folder}/{x['file']}", a, b) for a, b in zip(x["splits"], ends, strict=True)]
         if not manifests:
-            out = [Range(x, 0, 1 << 62) for x in sorted(names) if x.endswith(".warc.gz")]
+            out = [Range(x, 0, 1 << 62) for x in sorted(names) if x.endswith((".warc.gz", ".warc"))]
         return out or [Range("", 0, 0)]
 
     def _keep(self, headers: dict) -> bool:
         for f in self.taken:
-            x = headers.get(HEADERS[f.attribute[0]])
-            x = _bare(x)
+            x = _bare(headers.get(HEADERS[f.attribute[0]].lower()))
             if isinstance(f, IsNull):
                 ok = x is None
             elif isinstance(f, IsNotNull):
@@ -215,11 +322,14 @@ class Reader(DataSourceReader):
         rows: list = []
         held = 0
         with fs.open_input_file(partition.file) as stream:
-            for headers, head, body in read_records(stream, partition.start, partition.end, self._keep, self.payload):
-                values = [_bare(headers.get(h)) for h in HEADERS.values()]
-                n = int(head.lower().split(b"content-length: ", 1)[1].split(b"\r\n", 1)[0])
-                whole = headers["WARC-Type"] != "revisit" and body is not None
-                if whole and (len(body) != n or sha1_base32(body) != values[4]):
+            for headers, head, body, left in read_records(stream, partition.start, partition.end, self._keep, self.payload):
+                values = [_bare(headers.get(h.lower())) for h in HEADERS.values()]
+                http = _headers(head) if head else {}
+                revisit = headers.get("warc-type") == "revisit"
+                # A revisit has the head of what it doesn't repeat.
+                n = (int(http["content-length"]) if http.get("content-length", "").isdigit() else None) if revisit else left
+                whole = not revisit and body is not None
+                if whole and "transfer-encoding" not in http and headers.get("warc-payload-digest", "").lower().startswith("sha1:") and values[4] and sha1_base32(body) != values[4].upper():
                     raise ValueError(f"payload of {values[1]} does not match its header")
                 rows.append((*values, n, *([body if whole else None] if self.payload else [])))
                 held += len(body or b"") + 500
@@ -231,7 +341,7 @@ class Reader(DataSourceReader):
 
 
 def _bare(x: str | None) -> str | None:
-    return None if x is None else x[1:-1] if x[:1] == "<" else x.removeprefix("sha1:")
+    return None if x is None else x[1:-1] if x[:1] == "<" else x.removeprefix("sha1:").removeprefix("SHA1:")
 
 
 def _batch(rows: list, payload: bool) -> pa.RecordBatch:
@@ -286,7 +396,7 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "pa
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of all pages, as read back from their archive."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of all pages, as read back from their archive; payloads are read too, to hold them against their digests."""
     folder = scratch_path(spark, "warc")
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     read = spark.read.format("warc").load(folder).where(F.col("record_type").isin("response", "revisit"))

@@ -287,6 +287,42 @@ def test_damage_and_pushdown(tmp_path):
         list(warc.Reader(str(tmp_path), True).read(warc.Range(str(tmp_path / "a.warc.gz"), 0, 9)))
 
 
+def foreign_archive():
+    """Records as other writers make them, and what must be read of each."""
+    body = "<p>é</p>".encode()
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" + body
+    made = [
+        ([b"WARC/1.0", b"WARC-Type:warcinfo", b"WARC-Record-ID: <urn:uuid:1>", b"Content-Type: application/warc-fields"], b"software: y\r\n\r\nmore"),
+        ([b"WARC/1.0", b"warc-type: response", b"WARC-Record-ID: <urn:uuid:2>", b"WARC-Target-URI: http://a/", b"WARC-Payload-Digest: sha1:" + digest.encode(), b"Content-Type: application/http;\r\n msgtype=response"], http),
+        ([b"WARC/1.0", b"WARC-Type: metadata", b"WARC-Record-ID: <urn:uuid:3>"], b""),
+        ([b"WARC/1.0", b"WARC-Type: resource", b"WARC-Record-ID: <urn:uuid:4>", b"WARC-Payload-Digest: md5:abc"], b"r" * 300_000),
+        ([b"WARC/1.0", b"WARC-Type: response", b"WARC-Record-ID: <urn:uuid:5>", b"WARC-Payload-Digest: sha1:" + b"A" * 32, b"Content-Type: application/http"], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"),
+    ]
+    records = [b"\r\n".join([*h, b"Content-Length:" + str(len(b)).encode()]) + b"\r\n\r\n" + b + b"\r\n\r\n" for h, b in made]
+    want = [("warcinfo", "urn:uuid:1", 23 - 3, b"software: y\r\n\r\nmore"), ("response", "urn:uuid:2", len(body), body), ("metadata", "urn:uuid:3", 0, b""), ("resource", "urn:uuid:4", 300_000, b"r" * 300_000), ("response", "urn:uuid:5", 18, b"3\r\nabc\r\n0\r\n\r\n")]
+    want = [(t, i, len(p), p) for t, i, _, p in want]
+    return records, want
+
+
+@pytest.mark.parametrize(("name", "pack"), [("a.warc", b"".join), ("b.warc.gz", lambda rs: b"".join(map(gzip.compress, rs))), ("c.warc.gz", lambda rs: gzip.compress(b"".join(rs))), ("d.warc.gz", lambda rs: gzip.compress(b"".join(rs[:2])) + gzip.compress(b"".join(rs[2:])))])
+def test_archives_of_others(spark, tmp_path, name, pack):
+    """Plain files, a gzip member a record, and members of many records; nothing names lengths or ends lines as our writer does."""
+    records, want = foreign_archive()
+    (tmp_path / name).write_bytes(pack(records))
+    warc.register(spark)
+    read = lambda **o: spark.read.format("warc").options(**o).load(str(tmp_path))
+    assert [(r.record_type, r.record_id, r.payload_bytes, bytes(r.payload)) for r in read().collect()] == want
+    assert [(r.record_type, r.record_id, r.payload_bytes) for r in read(payload="false").where("record_type = 'response'").collect()] == [w[:3] for w in want if w[0] == "response"]
+    assert read().where("target_uri = 'http://a/'").count() == 1
+    (tmp_path / name).write_bytes(pack([*records, records[1].replace(b"<p>", b"<q>")]))
+    with pytest.raises(Exception, match="does not match"):
+        read().collect()
+    (tmp_path / name).write_bytes(pack([*records, b"junk" * 10]))
+    with pytest.raises(Exception, match="record"):
+        read().collect()
+
+
 # -- pipeline ------------------------------------------------------------------------------
 
 
