@@ -55,6 +55,19 @@ def bit_not(data: Column, length: Column) -> Column:
     return f(data, length)
 
 
+def to_string(data: Column) -> Column:
+    """The bits as "0110...", the filling of the last byte included."""
+    byte = lambda i: F.lpad(F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 2), 8, "0")
+    return F.when(F.octet_length(data) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.octet_length(data)), byte), ""))
+
+
+def bit_at(data: Column, index: Column) -> Column:
+    """Whether a bit is set; out of range it is not, of null it is null."""
+    byte = F.conv(F.hex(F.substring(data, (F.shiftright(index, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    inside = (index >= 0) & (index < F.octet_length(data) * 8)
+    return F.when(data.isNull(), None).otherwise(F.coalesce(inside & (F.pmod(F.floor(byte / F.pow(F.lit(2), 7 - F.pmod(index, F.lit(8)))), F.lit(2)) == 1), F.lit(False)))
+
+
 def clear(data: Column) -> Column:
     """As many zero bytes."""
     return F.unhex(F.repeat(F.lit("00"), F.octet_length(data)))

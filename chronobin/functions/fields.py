@@ -27,8 +27,16 @@ def mission_timestamp(time: Column) -> Column:
     return F.timestamp_micros(F.round((time + MISSION_EPOCH) * 1_000_000).cast("long"))
 
 
-def mission_time(timestamp: Column) -> Column:
-    return (F.unix_micros(timestamp.cast("timestamp")) - MISSION_EPOCH * 1_000_000) / F.lit(1_000_000.0)
+def utc_micros(column: str, kind: str = "timestamp_ntz") -> Column:
+    """Microseconds since 1970 of a timestamp column; one without a zone is UTC, whatever the session's zone is."""
+    if kind != "timestamp_ntz":
+        return F.unix_micros(F.col(column))
+    gap = f"(`{column}` - timestamp_ntz'1970-01-01 00:00:00')"
+    return F.expr(f"((extract(DAY FROM {gap}) * 24L + extract(HOUR FROM {gap})) * 60L + extract(MINUTE FROM {gap})) * 60000000L + cast(extract(SECOND FROM {gap}) * 1000000 AS long)")
+
+
+def mission_time(micros: Column) -> Column:
+    return (micros - MISSION_EPOCH * 1_000_000) / F.lit(1_000_000.0)
 
 
 def csv_line(schema: EventSchema = HE) -> Column:
@@ -48,7 +56,7 @@ def he_events(events: DataFrame, width: float = HE.width) -> DataFrame:
     """A click-stream table in the shape of high-energy events, with event_id as tie-breaker."""
     out = events.select(
         "event_id",
-        mission_time(F.col("ts")).alias("time"),
+        mission_time(utc_micros("ts", dict(events.dtypes)["ts"])).alias("time"),
         (F.col("user_id") % 256).cast("short").alias("detID"),
         F.get_json_object("props", "$.k").cast("short").alias("channel"),
         unsigned(F.floor("value").cast("long")).cast("short").alias("pulse"),

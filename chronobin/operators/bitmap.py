@@ -1,7 +1,10 @@
-"""A bitmap index by bucket, property and value, on Spark's own bitmap aggregates.
+"""A bitmap index by bucket, property and value in words of 64 bits.
 
-A Spark bitmap holds 32,768 positions, so an index row also has a bitmap number; positions are
-numbered from 1 within their bucket.
+Events are numbered from 0 within their bucket; word w holds positions 64 w to 64 w + 63, least
+significant bit first. Only words with a bit set are rows, so an index has at most a row of
+some bytes an event and property, whatever the number of values, and building it, OR, AND and
+counting are plain aggregates on longs (bit_or, bit_and, bit_count) that combine before any
+shuffle.
 """
 
 from __future__ import annotations
@@ -14,32 +17,32 @@ from ..schema import HE, EventSchema
 from .events import ordinals
 
 
-def build(events: DataFrame, schema: EventSchema = HE) -> DataFrame:
-    """(time_bucket, prop, value, bitmap_no, bits) of every value that occurs."""
+def build(events: DataFrame, schema: EventSchema = HE, also: list[str] = ()) -> DataFrame:
+    """(time_bucket, prop, value, word, bits) of every value that occurs, and the columns `also`, constant in a bucket."""
     pairs = ", ".join(f"'{p}', {p}" for p in schema.props)
-    rows = ordinals(events).select("time_bucket", (F.col("pos") + 1).cast("long").alias("at"), F.expr(f"stack({len(schema.props)}, {pairs}) AS (prop, value)"))
-    keyed = rows.withColumn("bitmap_no", F.bitmap_bucket_number("at"))
-    return keyed.groupBy("time_bucket", "prop", "value", "bitmap_no").agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    rows = ordinals(events).select("time_bucket", *also, F.shiftright("pos", 6).alias("word"), F.expr("shiftleft(1L, pos & 63)").alias("bit"), F.expr(f"stack({len(schema.props)}, {pairs}) AS (prop, value)"))
+    return rows.groupBy("time_bucket", *also, "prop", "value", "word").agg(F.bit_or("bit").alias("bits"))
 
 
 def cardinality(index: DataFrame) -> DataFrame:
     """Events by bucket, property and value."""
-    return index.groupBy("time_bucket", "prop", "value").agg(F.sum(F.bitmap_count("bits")).alias("events"))
+    return index.groupBy("time_bucket", "prop", "value").agg(F.sum(F.bit_count("bits").cast("long")).alias("events"))
 
 
-def union(index: DataFrame) -> DataFrame:
+def union(index: DataFrame, by: list[str] = ()) -> DataFrame:
     """Per bucket and property the events that have any of the values."""
-    return index.groupBy("time_bucket", "prop", "bitmap_no").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return index.groupBy(*by, "time_bucket", "prop", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def evaluate(index: DataFrame, query: EventQuery) -> DataFrame:
-    """(time_bucket, bitmap_no, bits) of the events that satisfy the query's property clauses.
+def evaluate(index: DataFrame, query: EventQuery, first: int | None = None, last: int | None = None, by: list[str] = ()) -> DataFrame:
+    """(time_bucket, word, bits) of the events that satisfy the query's property clauses, in the buckets of its range or those given.
 
-    Values of a property are OR-ed, properties AND-ed. A property without any match in a bucket
-    has no bitmap there, so buckets must have one from every property.
+    Values of a property are OR-ed, properties AND-ed. A property without any match in a word
+    has none there, so a word must have one from every property. by: columns that tell apart
+    indexes of their own numbering.
     """
-    first, last = query.buckets()
-    rows = index.where(F.col("time_bucket").between(first, last))
+    low, high = query.buckets()
+    rows = index.where(F.col("time_bucket").between(low if first is None else first, high if last is None else last))
     conditions, named = None, set(query.ranges) | set(query.lists)
     if not named:
         raise ValueError("no property clause: read the events themselves")
@@ -50,20 +53,18 @@ def evaluate(index: DataFrame, query: EventQuery) -> DataFrame:
         if name in query.lists:
             c &= F.col("value").isin(*query.lists[name])
         conditions = c if conditions is None else conditions | c
-    per_property = union(rows.where(conditions))
-    both = per_property.groupBy("time_bucket", "bitmap_no").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
-    return both.where((F.col("n") == len(named)) & (F.bitmap_count("bits") > 0)).select("time_bucket", "bitmap_no", "bits")
+    per_property = union(rows.where(conditions), by)
+    both = per_property.groupBy(*by, "time_bucket", "word").agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    return both.where((F.col("n") == len(named)) & (F.col("bits") != 0)).select(*by, "time_bucket", "word", "bits")
 
 
 def positions(bitmaps: DataFrame) -> DataFrame:
     """(time_bucket, pos) of the set bits, positions from 0."""
-    byte = F.conv(F.hex(F.substring("bits", F.col("i") + 1, F.lit(1))), 16, 10).cast("int")
-    bytes_ = bitmaps.select("time_bucket", "bitmap_no", "bits", F.explode(F.sequence(F.lit(0), F.octet_length("bits") - 1)).alias("i")).select("time_bucket", "bitmap_no", "i", byte.alias("byte")).where("byte > 0")
-    bits = bytes_.select("time_bucket", "bitmap_no", "i", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b")).where("shiftright(byte, b) & 1 = 1")
-    # Bitmap number n holds positions (n - 1) * 32768 + 1 .. n * 32768, least significant bit first.
-    return bits.select("time_bucket", ((F.col("bitmap_no") - 1) * 32768 + F.col("i") * 8 + F.col("b")).alias("pos"))
+    bits = bitmaps.select("time_bucket", "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b")).where("shiftright(bits, b) & 1 = 1")
+    return bits.select("time_bucket", (F.col("word") * 64 + F.col("b")).alias("pos"))
 
 
 def gather(events: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The events whose bits are set."""
-    return ordinals(events).join(positions(bitmaps), ["time_bucket", "pos"]).drop("pos")
+    """The events whose bits are set: each meets the one word that its position is in."""
+    rows = ordinals(events).withColumn("word", F.shiftright("pos", 6))
+    return rows.join(bitmaps.select("time_bucket", "word", "bits"), ["time_bucket", "word"]).where("shiftright(bits, pos & 63) & 1 = 1").drop("pos", "word", "bits")

@@ -36,14 +36,26 @@ def read_latency(log: DataFrame, start_ms: int, end_ms: int, bins: DataFrame | N
     return bins.join(mean, "bin", "left").select("bin", F.coalesce("delay_ms", F.lit(0)).cast("long").alias("delay_ms"))
 
 
-def write_speed_of_last(log: DataFrame, seconds: int, now_ms: int | None = None) -> DataFrame:
+def growth(log: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """(bin, events) from log(ts_ms, n), the events of each write: as write_speed of their running total, without the running sum."""
+    inside = _binned(log, start_ms, end_ms)
+    first = inside.agg(F.min("ts_ms").alias("base"))  # one row
+    sums = inside.join(F.broadcast(first), F.col("ts_ms") > F.col("base")).groupBy("bin").agg(F.sum("n").alias("events"))
+    return _bins(log.sparkSession, start_ms, end_ms).join(sums, "bin", "left").select("bin", F.coalesce("events", F.lit(0)).cast("long").alias("events"))
+
+
+def last(seconds: int, now_ms: int | None = None) -> tuple[int, int]:
+    """The range of the last seconds, now by default."""
     now_ms = int(time.time() * 1000) if now_ms is None else now_ms
-    return write_speed(log, now_ms - seconds * 1000, now_ms)
+    return now_ms - seconds * 1000, now_ms
+
+
+def write_speed_of_last(log: DataFrame, seconds: int, now_ms: int | None = None) -> DataFrame:
+    return write_speed(log, *last(seconds, now_ms))
 
 
 def read_latency_of_last(log: DataFrame, seconds: int, now_ms: int | None = None) -> DataFrame:
-    now_ms = int(time.time() * 1000) if now_ms is None else now_ms
-    return read_latency(log, now_ms - seconds * 1000, now_ms)
+    return read_latency(log, *last(seconds, now_ms))
 
 
 def cumulative(log: DataFrame, by: str = "table") -> DataFrame:

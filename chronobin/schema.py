@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import types as T
 
@@ -42,6 +43,14 @@ class EventSchema:
     def with_width(self, width: float) -> "EventSchema":
         return replace(self, width=width)
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> "EventSchema":
+        d = json.loads(text)
+        return cls(**d | {"props": tuple(d["props"]), "wire": tuple(map(tuple, d["wire"]))})
+
 
 #: The 16-byte high-energy record.
 HE = EventSchema(

@@ -1,11 +1,15 @@
 """FITS binary tables of events as a Spark data source (format "fits"), and a writer of such files.
 
 FITS: header blocks of 2880 bytes with 80-character cards, then big-endian rows, padded to 2880.
-The table is the first extension. A file is read in row ranges, a partition each.
+The table is the first extension. A file is read in row ranges, a partition each. Events of any
+fixed-width schema are read; option `layout` names it (EventSchema.to_json).
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +23,7 @@ from ..schema import HE, EventSchema
 BLOCK, CARD = 2880, 80
 #: Rows of a partition.
 ROWS = 4_000_000
-HEADER_SCHEMA = "file string, rows long, evt_length int, tstart long, tstop long, date_start string, date_stop string, type string, error string"
+HEADER_SCHEMA = "file string, rows long, evt_length int, tstart long, tstop long, date_start string, date_stop string, type string, error string, path string, offset long"
 
 
 class FitsError(ValueError):
@@ -81,9 +85,13 @@ def table_header(f) -> tuple[dict, int]:
     return cards, f.tell()
 
 
+def _fs(path: str):
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 def _files(path: str):
     """A file, or a directory's direct children, in order of name."""
-    fs, where = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    fs, where = _fs(path)
     info = fs.get_file_info(where)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -101,28 +109,35 @@ class Rows(InputPartition):
 
 
 class EventReader(DataSourceReader):
-    def __init__(self, path: str, schema: EventSchema):
-        self.path, self.events = path, schema
+    """planned: (path, offset of the rows, number of them) of each file, where a job has read the headers; else they are read here, side by side."""
+
+    def __init__(self, path: str, schema: EventSchema, planned: list | None = None):
+        self.path, self.events, self.planned = path, schema, planned
 
     def partitions(self):
-        fs, files = _files(self.path)
-        out = []
-        for path in files:
-            with fs.open_input_file(path) as f:
-                cards, offset = table_header(f)
-                width, rows = int(cards["NAXIS1"]), int(cards["NAXIS2"])
-                if width != self.events.record_bytes:
-                    continue  # in the headers' list of rejects
-                if f.size() < offset + width * rows:
-                    raise FitsError(f"{path} is cut short")
-            out += [Rows(path, offset, a, min(ROWS, rows - a)) for a in range(0, rows, ROWS)]
-        return out or [Rows("", 0, 0, 0)]
+        planned = self.planned
+        if planned is None:
+            fs, files = _files(self.path)
+
+            def plan(path):
+                with fs.open_input_file(path) as f:
+                    cards, offset = table_header(f)
+                    width, rows = int(cards["NAXIS1"]), int(cards["NAXIS2"])
+                    if width != self.events.record_bytes:
+                        return None  # in the headers' list of rejects
+                    if f.size() < offset + width * rows:
+                        raise FitsError(f"{path} is cut short")
+                    return path, offset, rows
+
+            with ThreadPoolExecutor(32) as pool:
+                planned = [x for x in pool.map(plan, files) if x]
+        return [Rows(p, offset, a, min(ROWS, rows - a)) for p, offset, rows in planned for a in range(0, rows, ROWS)] or [Rows("", 0, 0, 0)]
 
     def read(self, part):
         kind = np.dtype(list(self.events.wire))
-        fs, _ = _files(self.path)
         if not part.count:
             return
+        fs = _fs(self.path)[0]
         with fs.open_input_file(part.path) as f:
             f.seek(part.offset + part.first * kind.itemsize)
             left = part.count
@@ -148,7 +163,7 @@ class HeaderReader(DataSourceReader):
     def read(self, part):
         if not part.path:
             return
-        fs, _ = _files(self.path)
+        fs = _fs(self.path)[0]
         name = part.path.rpartition("/")[2]
         try:
             with fs.open_input_file(part.path) as f:
@@ -157,20 +172,23 @@ class HeaderReader(DataSourceReader):
                 error = None if width == self.events.record_bytes else f"record width {width}"
                 if not error and f.size() < offset + width * rows:
                     error = "cut short"
-                yield name, rows, width, int(c.get("TSTART") or 0), int(c.get("TSTOP") or 0), c.get("DATE-OBS"), c.get("DATE-END"), c.get("INSTRUME"), error
+                yield name, rows, width, int(c.get("TSTART") or 0), int(c.get("TSTOP") or 0), c.get("DATE-OBS"), c.get("DATE-END"), c.get("INSTRUME"), error, part.path, offset
         except (FitsError, KeyError) as e:
-            yield name, None, None, None, None, None, None, None, str(e)
+            yield name, None, None, None, None, None, None, None, str(e), part.path, None
 
 
 class FitsSource(DataSource):
-    """Events of a file or directory; option headers=true: a row a file instead."""
-
-    events = HE
+    """Events of a file or directory; option headers=true: a row a file instead; layout: the events' schema, by default the high-energy record's."""
 
     @classmethod
     def name(cls) -> str:
         return "fits"
 
+    @property
+    def events(self) -> EventSchema:
+        text = self.options.get("layout")
+        return EventSchema.from_json(text) if text else HE
+
     def _headers(self) -> bool:
         return str(self.options.get("headers", "false")).lower() == "true"
 
@@ -180,60 +198,81 @@ class FitsSource(DataSource):
         return f"{self.events.time} double, " + ", ".join(f"{p} short" for p in self.events.props) + ", source_file string"
 
     def reader(self, schema):
-        return (HeaderReader if self._headers() else EventReader)(self.options["path"], self.events)
+        if self._headers():
+            return HeaderReader(self.options["path"], self.events)
+        planned = self.options.get("planned")
+        return EventReader(self.options["path"], self.events, json.loads(planned) if planned else None)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, schema: EventSchema = HE, planned: list | None = None) -> DataFrame:
     spark.dataSource.register(FitsSource)
-    return spark.read.format("fits").load(path)
+    reader = spark.read.format("fits").option("layout", schema.to_json())
+    return (reader if planned is None else reader.option("planned", json.dumps(planned))).load(path)
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
+def read_headers(spark: SparkSession, path: str, schema: EventSchema = HE) -> DataFrame:
     spark.dataSource.register(FitsSource)
-    return spark.read.format("fits").option("headers", "true").load(path)
+    return spark.read.format("fits").option("headers", "true").option("layout", schema.to_json()).load(path)
 
 
-def fits_bytes(rows: list[tuple], schema: EventSchema = HE, width: int | None = None, start: float = 0, stop: float = 0, instrument: str = "HE") -> bytes:
-    """A FITS file of events given as (time, properties...)."""
+def fits_bytes(rows: list[tuple] | np.ndarray, schema: EventSchema = HE, width: int | None = None, start: float = 0, stop: float = 0, instrument: str = "HE") -> bytes:
+    """A FITS file of events given as (time, properties...), or as an array of records in wire layout."""
 
     def header(cards):
         text = "".join(f"{k:<8}= {v if isinstance(v, str) else str(v):>20}".ljust(CARD) for k, v in cards) + "END".ljust(CARD)
         return text.ljust(-(-len(text) // BLOCK) * BLOCK).encode()
 
     kind = np.dtype(list(schema.wire))
-    data = np.zeros(len(rows), kind)
-    for k, name in enumerate(schema.columns):
-        data[name] = [r[k] for r in rows]
+    data = rows
+    if not isinstance(rows, np.ndarray):
+        data = np.zeros(len(rows), kind)
+        for k, name in enumerate(schema.columns):
+            data[name] = [r[k] for r in rows]
     raw = data.tobytes()
     primary = header([("SIMPLE", "T"), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", "T")])
-    table = header([("XTENSION", "'BINTABLE'"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width or kind.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 1), ("TSTART", start), ("TSTOP", stop), ("DATE-OBS", "'2017-08-31T00:00:00'"), ("DATE-END", "'2017-09-01T00:00:00'"), ("INSTRUME", f"'{instrument:<8}'")])
+    table = header([("XTENSION", "'BINTABLE'"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width or kind.itemsize), ("NAXIS2", len(data)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 1), ("TSTART", start), ("TSTOP", stop), ("DATE-OBS", "'2017-08-31T00:00:00'"), ("DATE-END", "'2017-09-01T00:00:00'"), ("INSTRUME", f"'{instrument:<8}'")])
     return primary + table + raw.ljust(-(-len(raw) // BLOCK) * BLOCK, b"\0")
 
 
-def write_events(events: DataFrame, folder: str, schema: EventSchema = HE) -> list[str]:
-    """Write a FITS file a partition; returns the names of the files.
+def write_events(events: DataFrame, folder: str, schema: EventSchema = HE, rows: int = ROWS) -> list[str]:
+    """Write FITS files of up to so many rows, at least one a partition that has any; returns the names of the files.
 
-    Each task attempt writes under a name of its own and reports it when done; files that are
-    not among the reported ones are removed.
+    Each task attempt writes under names of its own, with this run's mark, and reports them
+    when done; files with that mark that no attempt reported are removed, no others.
     """
+    mark = uuid.uuid4().hex[:12]
+    kind = np.dtype(list(schema.wire))
 
     def run(batches):
-        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
-        if not rows:
-            return
-        import uuid
-
-        fs, where = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(where, recursive=True)
-        name = f"events-{uuid.uuid4().hex}.fits"
-        times = [r[0] for r in rows]
-        with fs.open_output_stream(f"{where}/{name}") as out:
-            out.write(fits_bytes(rows, schema, start=int(min(times)), stop=int(max(times))))
-        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+        fs, where = _fs(folder)
+        held: list[np.ndarray] = []
+        names: list[str] = []
+
+        def flush():
+            data = np.concatenate(held, dtype=kind)
+            held.clear()
+            fs.create_dir(where, recursive=True)
+            names.append(f"events-{mark}-{uuid.uuid4().hex}.fits")
+            with fs.open_output_stream(f"{where}/{names[-1]}") as out:
+                out.write(fits_bytes(data, schema, start=int(data[schema.time].min()), stop=int(data[schema.time].max())))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                data = np.zeros(part.num_rows, kind)
+                for name in schema.columns:
+                    data[name] = part.column(name).to_numpy(zero_copy_only=False)
+                if held and sum(map(len, held)) + len(data) > rows:
+                    flush()
+                held.append(data)
+        if sum(map(len, held)):
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
 
     names = [r["file"] for r in events.select(*schema.columns).mapInArrow(run, "file string").collect()]
-    fs, files = _files(folder)
-    for f in files:
-        if f.rpartition("/")[2] not in names:
-            fs.delete_file(f)
+    fs, where = _fs(folder)
+    for f in fs.get_file_info(pafs.FileSelector(where, allow_not_found=True)):
+        name = f.path.rpartition("/")[2]
+        if name.startswith(f"events-{mark}-") and name not in names:
+            fs.delete_file(f.path)
     return names

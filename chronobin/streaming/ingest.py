@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +14,18 @@ from ..store import EventStore
 def stream_into(store: EventStore, table: str, folder: str, checkpoint: str, mode: str = "merge", schema=None):
     """Start merging Parquet files of events that arrive in a folder; no watermark, so lateness is unbounded.
 
-    A batch that is repeated after a failure is recognised by its id and not written twice.
+    A batch is written under the name of its stream, which the checkpoint holds, and its number,
+    and committed with its events: repeated after a failure it is not written twice, and streams
+    into one table, or one begun anew with another checkpoint, never take each other's batches
+    for their own.
     """
     spark: SparkSession = store.spark
     source = spark.readStream.schema(schema or store.schema.spark()).parquet(folder)
-    marks = f"tables/{table}/batches"
 
     def write(batch: DataFrame, number: int) -> None:
-        if store._exists(marks, str(number)):
-            return
         if not batch.isEmpty():
-            store.write(table, batch, mode)
-        fs, path = store._path(marks, str(number))
-        fs.create(path, True).close()
+            stream = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+            store.write(table, batch, mode, batch=f"{stream}-{number}")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

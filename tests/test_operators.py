@@ -16,6 +16,8 @@ def test_write_speed(spark):
     log = spark.createDataFrame([(1250, 10), (1300, 15), (1800, 21), (4260, 100), (5249, 130), (6000, 999)], LOG)
     assert [r.events for r in metrics.write_speed(log, 1250, 5250).orderBy("bin").collect()] == [11, 0, 0, 109, 0]
     assert [r.events for r in metrics.write_speed(log, 9000, 10_000).orderBy("bin").collect()] == [0, 0]
+    writes = spark.createDataFrame([(1250, 10), (1300, 5), (1800, 6), (4260, 79), (5249, 30), (6000, 869)], "ts_ms long, n long")
+    assert [r.events for r in metrics.growth(writes, 1250, 5250).orderBy("bin").collect()] == [11, 0, 0, 109, 0] and [r.events for r in metrics.growth(writes, 9000, 10_000).orderBy("bin").collect()] == [0, 0]
     assert [r.events for r in metrics.write_speed_of_last(log, 1, 5250).orderBy("bin").collect()] == [30, 0]
 
 
@@ -31,7 +33,7 @@ def test_ring(spark):
     order = sorted(ring.points)
     for k in range(3000):
         h = hash32(str(k))
-        assert got[k] == ring.node(str(k)) == ring.points[next((p for p in order if p >= h), order[0])][0]
+        assert got[k] == ring.node(str(k)) == ring.points[next((p for p in order if p >= h), order[0])]
     ring.remove("3")
     moved = [k for k in range(3000) if ring.node(str(k)) != got[k]]
     assert moved and all(got[k] == "3" for k in moved) and ring.replicas("3") == 0
@@ -65,4 +67,6 @@ def test_bit_columns(spark):
     show = lambda v: bits.unpack(bytes(v), 10)
     word = lambda v: "".join(map(str, v))
     assert (show(r[0]["and"]), show(r[0]["or"]), show(r[0]["xor"]), show(r[0]["xnor"]), show(r[0]["not"])) == (word(x & y), word(x | y), word(x ^ y), word(1 - (x ^ y)), word(1 - x))
+    t = df.select(bits.to_string(F.col("a")).alias("text"), *[bits.bit_at(F.col("a"), F.lit(k)).alias(f"b{k}") for k in (-1, 0, 2, 9, 16)]).collect()
+    assert tuple(t[0]) == (a.ljust(16, "0"), False, True, False, True, False) and tuple(t[1]) == (None,) * 6
     assert bytes(r[0]["clear"]) == b"\0\0" and r[0]["count"] == 6 and r[1]["and"] is None

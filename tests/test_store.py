@@ -3,9 +3,10 @@ from threading import Thread
 
 import pytest
 
-from chronobin import cli, rest
-from chronobin.schema import HE
-from chronobin.sources.fits import FitsError, fits_bytes, read_events, read_headers, table_header
+from chronobin import cli, config, rest
+from chronobin.schema import HE, EventSchema
+from chronobin.scratch import scratch_path
+from chronobin.sources.fits import FitsError, fits_bytes, read_events, read_headers, table_header, write_events
 from chronobin.store import EventStore, StoreError
 from chronobin.streaming.ingest import stream_into, tumbling_counts
 
@@ -107,14 +108,113 @@ def test_rest(spark, store):
     Thread(target=server.serve_forever, daemon=True).start()
     get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{p}").read().decode()
     assert get("/he/he?time=0~1.5&pulse=255") == "time,detID,channel,pulse,eventType\n1.000000,1,200,255,1\n"
-    assert get("/eventdb:info?op=tableList") == "he" and get("/eventdb:info?op=totalEvents") == "0" and get("/eventdb:info?op=volume") == "0GB"
-    assert get("/eventdb:info?op=writeSpeed&startTimeStamp=1000&endTimeStamp=3000") == "0,0,0"
-    assert get("/eventdb:info?op=readLatencyOfLast&lastSeconds=2").count(",") == 2
-    assert "<form" in get("/index.html")
-    assert rest.answer(store, "/he/he?detID=1")[0] == 400 and rest.answer(store, "/eventdb:info?op=x")[0] == 404 and rest.answer(store, "/no")[0] == 404
+    assert get("/info?op=tableList") == "he" and get("/info?op=totalEvents") == "0" and get("/info?op=volume") == "0GB"
+    assert get("/info?op=writeSpeed&startTimeStamp=1000&endTimeStamp=3000") == "0,0,0"
+    assert get("/info?op=readLatencyOfLast&lastSeconds=2").count(",") == 2
+    assert "<form" in get("/index.html") and "polyline" in get("/static/charts.html") and rest.answer(store, "/static/../rest.py")[0] == rest.answer(store, "/static/no")[0] == 404
+    assert rest.answer(store, "/he/he?detID=1")[0] == 400 and rest.answer(store, "/info?op=x")[0] == 404 and rest.answer(store, "/no")[0] == 404
     server.shutdown()
 
 
+def test_streams_into_one_table_and_begun_anew(spark, store, tmp_path):
+    """Each stream's batch 0 is its own."""
+    for k, times in enumerate([(10, 70), (20,), (30,)]):
+        spark.createDataFrame(rows(*times), SHAPE).coalesce(1).write.parquet(f"{tmp_path}/arrive{k}")
+        stream_into(store, "he", f"{tmp_path}/arrive{k}", f"{tmp_path}/ck{k}").awaitTermination()
+    assert [r.time for r in store.query("he", "time=0~100").orderBy("time").collect()] == [10, 20, 30, 70]
+    df = spark.createDataFrame(rows(40), SHAPE)
+    assert store.write("he", df, batch="s-7") == 1 and store.write("he", df, batch="s-7") == 0 and store.query("he", "time=40~40").count() == 1
+
+
+def test_writers_side_by_side(spark, store):
+    """No writer touches what another has begun, and every commit counts."""
+    store.write("he", spark.createDataFrame(rows(5), SHAPE))
+    errors = []
+
+    def work(k):
+        try:
+            store.write("he", spark.createDataFrame(rows(100_000 * k, 100_000 * k + 1), SHAPE), "replace_overlap" if k % 2 else "merge")
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [Thread(target=work, args=(k,)) for k in range(1, 5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and store.events("he").count() == 9 and len(store._commits("he")) == 5
+    fs, path = store._path("tables", "he", "events", "batch=lost", "day=0")
+    fs.mkdirs(path)
+    assert store.vacuum("he") == [] and store.vacuum("he", -60) == ["batch=lost"] and store.events("he").count() == 9
+
+
+def test_compaction_and_index(spark, store):
+    for k in range(6):
+        store.write("he", spark.createDataFrame(rows(*range(k, 400, 7)), SHAPE))
+    before = sorted(map(tuple, store.events("he").drop("source_file", "event_id").collect()))
+    q = "time=61.5~299&detID=3~200&eventType=1"
+    want = store.query("he", q).count()
+    store.build_index("he")
+    assert store.count("he", q) == want > 100 and store.count("he", "time=70~80&detID=71,72") == 2 and store.count("he", "time=0~1000&detID=255") == 1
+    assert store.compact("he") == [0] and store.compact("he") == []
+    assert sorted(map(tuple, store.events("he").drop("source_file", "event_id").collect())) == before
+    assert store.count("he", q) == want
+    store.build_index("he")
+    assert store.count("he", q) == want
+    assert store.write("he", spark.createDataFrame([], SHAPE)) == 0 and store.count("he", q) == want
+
+
+def test_many_commits_are_read_from_a_checkpoint(store):
+    for k in range(205):
+        assert store._commit("he", None, f"b{k}", k)
+    assert [c["batch"] for c in store._commits("he")] == [f"b{k}" for k in range(205)] and store._exists("tables", "he", "log", "upto-000000199.json")
+
+
+def test_other_files_stay_and_other_layouts_are_read(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "precious.fits").write_bytes(b"x")
+    small = EventSchema(props=("a", "b"), wire=(("a", "u1"), ("time", ">f8"), ("_x", "V2"), ("b", ">i2")))
+    df = spark.createDataFrame([(float(t), t % 200, -t) for t in range(1000)], "time double, a short, b short").repartition(2)
+    names = write_events(df, f"file://{tmp_path}/out", small, rows=300)
+    assert len(names) >= 4 and {p.name for p in (tmp_path / "out").iterdir()} == {*names, "precious.fits"}
+    (tmp_path / "out" / "precious.fits").unlink()
+    got = read_events(spark, f"file://{tmp_path}/out", small)
+    assert sorted(map(tuple, got.select("time", "a", "b").collect())) == [(float(t), t % 200, -t) for t in range(1000)]
+    assert {r.error for r in read_headers(spark, f"{tmp_path}/out").collect()} == {"record width 13"}
+
+
+def test_scratch_must_be_shared_on_a_cluster():
+    class Context:
+        master = "spark://h:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        scratch_path(Session(), "x")
+
+
+def test_config(spark, tmp_path):
+    (tmp_path / "c.properties").write_text(f"# where\nroot = file://{tmp_path}/c\nsplits=3\nwidth: 30\nspark.x=y\n")
+    cli.main(["--config", f"{tmp_path}/c.properties", "init"], spark)
+    cli.main(["--config", f"{tmp_path}/c.properties", "createTable", "t"], spark)
+    assert EventStore(spark, f"file://{tmp_path}/c").properties("t") == {"width": 30.0, "splits": 3}
+    cli.main(["--config", f"{tmp_path}/c.properties", "setSplits", "t", "9"], spark)
+    assert EventStore(spark, f"file://{tmp_path}/c").properties("t")["splits"] == 9
+    for bad in ("no sense", "unknown = 1"):
+        (tmp_path / "c.properties").write_text(bad)
+        with pytest.raises(ValueError):
+            config.read(f"{tmp_path}/c.properties")
+
+
 def test_cli_and_shell(spark, tmp_path):
     root = f"file://{tmp_path}/s"
     fits_file(tmp_path / "in", "a.fits", rows(1, 2))
