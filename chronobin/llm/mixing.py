@@ -2,8 +2,7 @@
 
 Targets: the sources in code-point order (null last) weigh 5, 2, 1, 5, 2, 1, ... and share the
 whole volume; a target stops at max_epochs times its source's size and the excess is reshared
-by weight until none is above (the water level has a closed form over the sources sorted by
-cap / weight).
+by weight until none is above: a water level, found by histograms of cap / weight.
 
 A source takes floor(target / size) whole passes and, for the rest, the documents whose hash is
 under a threshold. The threshold is found without sorting documents: sizes are summed by
@@ -14,8 +13,8 @@ threshold is taken if that brings the sum nearer.
 
 Defined results: null texts have size 0 and are taken 0 times their words; null sources are a
 source of their own; a null id hashes as the empty string; rows of equal id share a hash and
-are taken or left together; an empty table gives an empty mix. Extra columns are kept by
-apply_mix and never read.
+are taken or left together; rows that repeat are taken alike; very long texts only count; an
+empty table gives an empty mix. Extra columns are kept by apply_mix and never read.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ from .common import materialise, release, word_count
 WEIGHTS = (5, 2, 1)
 #: Hash bits a histogram level resolves, and bits of the hash.
 LEVEL_BITS, HASH_BITS = 10, 60
+#: Sources of a range, and classes of ratio that the driver sees at once.
+LEVELS = 10_000
 #: Sources up to which the plan, a row each, is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 50_000
 
@@ -38,21 +39,63 @@ def row_hash(id_col: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
-    """sources(source, source_size) with target; one row a source, so its windows are small."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    every = Window.orderBy("ratio", "rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    below = Window.orderBy("ratio", "rn").rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.orderBy("ratio", "rn").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rn") - 1) % len(weights) + 1)
-    df = sources.withColumn("rn", F.row_number().over(order)).withColumn("w", w)
-    df = df.withColumn("cap", F.col("source_size") * max_epochs).withColumn("ratio", F.col("cap") / F.col("w"))
-    total = F.sum("source_size").over(every)
-    level = (total - F.coalesce(F.sum("cap").over(below), F.lit(0))) / F.sum("w").over(above)
-    df = df.withColumn("level", level)
-    first = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "rn", "level"))).over(every)
-    df = df.withColumn("cut", first)
-    free = (F.col("ratio") > F.col("cut.ratio")) | ((F.col("ratio") == F.col("cut.ratio")) & (F.col("rn") >= F.col("cut.rn")))
-    return df.select("source", "source_size", F.when(free, F.col("cut.level") * F.col("w")).otherwise(F.col("cap").cast("double")).alias("target"))
+    """sources(source, source_size) with target.
+
+    Sources are numbered by ranges of code points: each range is numbered by itself and starts
+    after the counts of those before, so no task holds all sources.
+    """
+    n = sources.count()
+    parts = max(1, -(-n // LEVELS))
+    ranged = sources.repartitionByRange(parts, F.col("source").asc_nulls_last()) if parts > 1 else sources.coalesce(1)
+    ranged = materialise(ranged.withColumn("_p", F.spark_partition_id()), "mix-sources")
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))  # a row a range
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
+    rn = F.row_number().over(Window.partitionBy("_p").orderBy(F.col("source").asc_nulls_last())) + F.col("_from")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rn") - 1) % len(weights) + 1).cast("int"))
+    df = ranged.join(F.broadcast(before), "_p").withColumn("rn", rn).withColumn("w", w).drop("_p", "_from")
+    df = materialise(df.withColumn("cap", F.col("source_size") * max_epochs).withColumn("ratio", F.col("cap") / F.col("w")), "mix-caps")
+    release(ranged)
+    level = _water_level(df)
+    return df.select("source", "source_size", F.when(F.col("ratio") >= F.lit(level), F.lit(level) * F.col("w")).otherwise(F.col("cap").cast("double")).alias("target"))
+
+
+def _water_level(df: DataFrame) -> float:
+    """The level L at which the sum of min(cap, L w) over df(source_size, cap, w, ratio) is the sum of sizes.
+
+    Classes of ratio are (sums of caps and weights); the level lies in the first class whose
+    ratio reaches the level that would leave it and all after it open. While classes are more
+    than LEVELS, they are summed in LEVELS equal spans of ratio and only spans that may hold the
+    level are looked at again: the driver sees LEVELS rows a round.
+    """
+    all_ = df.agg(F.sum("source_size"), F.sum("w"), F.min("ratio"), F.max("ratio")).first()
+    if all_[0] is None:
+        return 0.0
+    capped, open_w = 0, float(all_[1])
+
+    def level() -> float:
+        return (all_[0] - capped) / open_w if open_w else 0.0
+
+    def scan(lo: float, hi: float) -> float | None:
+        """The level if a class of lo..hi is the first to reach it; else its classes are capped."""
+        nonlocal capped, open_w
+        live = df.where(F.col("ratio").between(lo, hi))
+        sums = (F.min("ratio").alias("low"), F.max("ratio").alias("high"), F.sum("cap").alias("cap"), F.sum("w").alias("w"))
+        rows = live.groupBy("ratio").agg(*sums).orderBy("ratio").limit(LEVELS + 1).collect()
+        if len(rows) > LEVELS:
+            span = F.least(F.floor((F.col("ratio") - lo) / ((hi - lo) / LEVELS)), F.lit(LEVELS - 1)).alias("k")
+            rows = live.groupBy(span).agg(*sums).orderBy("k").collect()
+        for r in rows:
+            if r["high"] >= level():
+                if r["low"] == r["high"]:
+                    return level()
+                if (found := scan(r["low"], r["high"])) is not None:
+                    return found
+            else:
+                capped, open_w = capped + r["cap"], open_w - r["w"]
+        return None
+
+    found = scan(float(all_[2]), float(all_[3]))
+    return level() if found is None else found
 
 
 def mix_plan(docs: DataFrame, source: Column, size: Column, key: Column, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:

@@ -74,6 +74,18 @@ def test_mixing(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("levels", [3, 10_000])
+def test_targets_of_many_sources(spark, monkeypatch, levels):
+    """The water level is the same whether classes are seen at once or span by span."""
+    monkeypatch.setattr(mixing, "LEVELS", levels)
+    rng = random.Random(5)
+    sizes = {f"s{k:03}": rng.choice([0, 1, 7, 100, rng.randint(1, 10_000), 1_000_000 * (k % 40 == 0)]) for k in range(120)} | {None: 50}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    want = water_fill(sizes)
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
+    assert mixing.targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+
+
 def test_mixing_reruns_agree(spark):
     df = table(spark, rows_of())
     a, b = (mixing.mix_plan(x, F.col("source"), mixing.word_count(F.col("text")), F.col("doc_id")).orderBy("source").collect() for x in (df, df.repartition(3)))
