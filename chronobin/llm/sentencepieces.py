@@ -12,8 +12,11 @@ The model is the public protobuf format, read on the driver and shipped as bytes
 identity normaliser is supported (others raise ValueError).
 
 Defined results: null and empty texts have no ids and decode to the empty string; a literal
-U+2581 decodes as a blank, as the format has it; ids out of range raise IndexError; extra
-columns stay as they are and may not be named like the added ones.
+U+2581 decodes as a blank, as the format has it; ids out of range raise IndexError;
+texts that repeat have equal ids; very long texts are encoded whole, and a unit without any cut
+that is longer than ARRAY_CHARS is indexed in overlapping windows, so the index stays bounded;
+an empty table gives no rows; extra columns stay as they are, but columns named like the added
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -159,6 +162,13 @@ class Model:
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, id) of every occurrence of a piece of two or more characters, by position."""
+        if len(text) > 2 * ARRAY_CHARS:  # windows that overlap by the longest piece
+            found = []
+            for at in range(0, len(text), ARRAY_CHARS):
+                start, length, piece = self.edges(text[at : at + ARRAY_CHARS + self.longest - 1])
+                own = start < ARRAY_CHARS
+                found.append((start[own] + at, length[own], piece[own]))
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
         array = self.suffix_array(text)
         there = np.zeros(len(self.joined), bool)
         there[text] = True
@@ -240,7 +250,8 @@ class Model:
         start, length, ids = self.edges(text)
         if self.algorithm == BPE:
             short = sizes <= SCAN
-            self._merge_all([u for u, ok in zip(units, short.tolist(), strict=True) if ok], starts[short], sizes[short], points, (start, length, ids))
+            if short.any():
+                self._merge_all([u for u, ok in zip(units, short.tolist(), strict=True) if ok], starts[short], sizes[short], points, (start, length, ids))
             rest = np.nonzero(~short)[0].tolist()
         else:
             rest = range(len(units))
@@ -254,8 +265,13 @@ class Model:
         """BPE of many units side by side: in each round every unit joins its best pair, leftmost first."""
         wide = self.longest + 1
         start, length, ids = edges
-        table = np.full(len(points) * wide, -1, np.int32)  # piece by position and length
-        table[start * wide + length] = ids
+        # Piece by position and length, over these units alone: long ones, with theirs, lie elsewhere.
+        place = np.full(len(points), -1, np.int64)
+        inside = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        place[inside] = np.arange(len(inside))
+        held = place[start] >= 0
+        table = np.full(len(inside) * wide, -1, np.int32)
+        table[place[start[held]] * wide + length[held]] = ids[held]
         if not hasattr(self, "order"):
             self.order = np.unique(-np.array(self.scores), return_inverse=True)[1].astype(np.int64)
             self.single_id = np.full(0x110000, -1, np.int32)
@@ -268,7 +284,7 @@ class Model:
         while len(at):
             joint = np.minimum(span[:-1] + span[1:], wide)
             ok = (unit[:-1] == unit[1:]) & (joint < wide)
-            piece = np.where(ok, table[at[:-1] * wide + np.where(ok, joint, 0)], -1)
+            piece = np.where(ok, table[place[at[:-1]] * wide + np.where(ok, joint, 0)], -1)
             rank = np.append(np.where(piece >= 0, self.order[piece], none), none)
             first = np.concatenate([[0], np.nonzero(unit[1:] != unit[:-1])[0] + 1])
             key = np.minimum.reduceat(rank << 24 | np.arange(len(at)) - np.repeat(first, np.diff([*first, len(at)])), first)
@@ -284,7 +300,7 @@ class Model:
         unit, at, span = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
         order = np.argsort(at, kind="stable")
         unit, at, span = unit[order], at[order], span[order]
-        found = np.where(span > 1, table[at * wide + span], self.single_id[points[at]])
+        found = np.where(span > 1, table[place[at] * wide + span], self.single_id[points[at]])
         ends = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
         raw = found.astype("<i4").tobytes()
         for k, u in enumerate(units):
@@ -361,6 +377,7 @@ def encode(df: DataFrame, text_col: str = "text", into: str = "ids", model: byte
                 ids = m.encode_bytes(part.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, into])
 
+    df = df.drop(into)
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return spread(df).mapInArrow(tidy(run), f"{fields}, `{into}` array<int>")
 
@@ -382,6 +399,7 @@ def decode(df: DataFrame, ids_col: str = "ids", into: str = "decoded", model: by
                 texts = [m.decode(x or []) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
+    df = df.drop(into)
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.mapInArrow(tidy(run), f"{fields}, `{into}` string")
 
@@ -399,6 +417,7 @@ def tokenise(df: DataFrame, text_col: str = "text", model: bytes | None = None)
                 same = [m.decode(np.frombuffer(x, "<i4").tolist()) == (t or "").replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=[*part.schema.names, "ids", "n_tokens", "round_trip"])
 
+    df = df.drop("ids", "n_tokens", "round_trip")
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return spread(df).mapInArrow(tidy(run), f"{fields}, ids array<int>, n_tokens long, round_trip boolean")
 
