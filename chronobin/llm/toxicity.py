@@ -11,11 +11,15 @@ intersecting a Levenshtein automaton (one edit) with the trie of the lexicon's w
 counts its weight times a context factor: hits within quotation marks or near a reporting
 word (WINDOW tokens) count QUOTED of their weight and go to features of their own, hits near a
 second-person word count more. The densest window, the sums and the number of distinct terms
-are the features. Labels, language, source and ids are no inputs.
+are the features. Labels, language, source and ids are no inputs. Every term that passes the
+bounds is kept; the labelled sample bounds their number. A stem that is no better than a whole
+word that it begins with the same documents is left out.
 
 Defined results: null and empty texts have no hits and the score of none; without labelled
 rows of both classes every score is 0 and nothing is predicted; rows with null labels or ids
-are not learned from; repeated rows are scored alike; extra columns are ignored.
+are not learned from; an id with conflicting labels counts as toxic; repeated rows are scored
+alike; very long texts are read whole; an empty table gives no rows; extra columns are kept or
+ignored, one named like the added score is replaced.
 """
 
 import re
@@ -31,8 +35,10 @@ from .common import spread, tidy
 
 #: Labelled rows to learn from, on average at most.
 SAMPLE = 20_000
-#: Terms kept, stem lengths, tokens of a context window, weight of quoted hits, of hits near a second-person word.
-TERMS, STEMS, WINDOW, QUOTED, DIRECT = 400, (4, 5, 6, 7), 8, 0.3, 1.25
+#: Stem lengths, tokens of a context window, weight of quoted hits, of hits near a second-person word.
+STEMS, WINDOW, QUOTED, DIRECT = (4, 5, 6, 7), 8, 0.3, 1.25
+#: Documents of label 1 that a term is in at least, and the hundredths of them, and the least lower-bound log odds.
+LEAST, SHARE, ODDS = 3, 1, 1.0
 #: Fewest characters of a word that may be misspelled.
 FUZZY_LENGTH = 5
 #: Tokens that a worker remembers, and terms that a task counts before it hands them on.
@@ -65,15 +71,15 @@ class Trie:
         return word in self.near or any(word[:k] + word[k + 1 :] in self.near for k in range(len(word)))
 
     def within(self, word: str, edits: int = 1) -> str | None:
-        """A word of the trie at most `edits` insertions, deletions or substitutions away, the nearest first.
+        """A word of the trie at most `edits` insertions, deletions, substitutions or swaps of neighbours away, the nearest first.
 
         A state of the automaton is the row of edit distances between what was read and the
         prefixes of `word`; only branches whose row can still end within the bound are walked.
         """
         best: tuple[int, str] | None = None
-        todo = [(self.root, tuple(range(len(word) + 1)))]
+        todo: list = [(self.root, tuple(range(len(word) + 1)), None, "")]
         while todo:
-            node, row = todo.pop()
+            node, row, above, last = todo.pop()
             for c, child in node.items():
                 if c == "":
                     if row[-1] <= edits and (best is None or (row[-1], child) < best):
@@ -81,9 +87,12 @@ class Trie:
                     continue
                 nxt = [row[0] + 1]
                 for k, d in enumerate(word):
-                    nxt.append(min(nxt[k] + 1, row[k + 1] + 1, row[k] + (c != d)))
-                if min(nxt) <= edits:
-                    todo.append((child, tuple(nxt)))
+                    best_here = min(nxt[k] + 1, row[k + 1] + 1, row[k] + (c != d))
+                    if above is not None and k and word[k - 1] == c and d == last:
+                        best_here = min(best_here, above[k - 1] + 1)  # two neighbours swapped
+                    nxt.append(best_here)
+                if min(nxt) <= edits or min(row) <= edits - 1:
+                    todo.append((child, tuple(nxt), row, c))
         return best[1] if best else None
 
 
@@ -215,13 +224,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
+def _lexicon(found: list) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems of (term, a, c, w); a stem in no more toxic documents than a word that it begins adds nothing to it."""
+    words = {t: w for t, _, _, w in found if t[-1] != "*"}
+    most: dict[str, int] = {}
+    for t, a, _, _ in found:
+        if t[-1] != "*":
+            for k in STEMS:
+                if len(t) > k:
+                    most[t[:k]] = max(a, most.get(t[:k], 0))
+    return words, {t[:-1]: w for t, a, _, w in found if t[-1] == "*" and a > most.get(t[:-1], 0)}
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Learn from the labelled rows that are not held out."""
     train = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     n = train.count()
     pick = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample / max(1, n))))
     # At most about `sample` rows of two numbers: bounded, hence broadcast.
-    chosen = train.where(pick).dropDuplicates(["id"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(10)) < 6)
+    chosen = train.where(pick).groupBy("id").agg(F.max("y").alias("y")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(10)) < 6)
     rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).join(F.broadcast(chosen), "id").select("text", "y", "part")
     sizes = {r["y"]: r["n"] for r in chosen.where("part").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -229,9 +250,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     found = rows.where("part").select("text", "y").mapInArrow(tidy(_candidates), "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     odds = F.log((F.col("a") + 0.5) / F.lit(sizes[1] + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(sizes[0] + 1.0))
     low = odds - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("c") + 0.5))
-    least = max(3, sizes[1] // 100)
-    best = found.where(F.col("a") >= least).withColumn("w", low).where("w >= 1").orderBy(F.desc(F.col("a") * F.col("w")), "term").limit(terms).collect()
-    model = Toxicity({r["term"]: r["w"] for r in best if r["term"][-1] != "*"}, {r["term"][:-1]: r["w"] for r in best if r["term"][-1] == "*"})
+    least = max(LEAST, sizes[1] * SHARE // 100)
+    # Terms of so many of at most about `sample` documents: their number has a bound.
+    best = found.where(F.col("a") >= least).withColumn("w", low).where(F.col("w") >= ODDS).orderBy("term").collect()
+    model = Toxicity(*_lexicon([(r["term"], r["a"], r["c"], r["w"]) for r in best]))
 
     def vectors(batches):
         for batch in batches:
@@ -249,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
 def with_scores(docs: DataFrame, model: Toxicity, text_col: str = "text", into: str = "score", keep_text: bool = True) -> DataFrame:
     """docs with the score of every whole text; keep_text=False spares the way back of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if keep_text or c != text_col]
+    kept = [c for c in docs.columns if (keep_text or c != text_col) and c != into]
 
     def run(batches):
         model = shared.value
@@ -262,7 +284,7 @@ def with_scores(docs: DataFrame, model: Toxicity, text_col: str = "text", into:
 
     kinds = dict(docs.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
-    return spread(docs).mapInArrow(tidy(run), f"{fields}, `{into}` double")
+    return spread(docs.select(*dict.fromkeys([*kept, text_col]))).mapInArrow(tidy(run), f"{fields}, `{into}` double")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

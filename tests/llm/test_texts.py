@@ -69,6 +69,20 @@ def test_unigram_takes_the_best_path():
     assert [m.pieces[i] for i in m.encode(["ab z"])[0]] == ["▁", "ab", "▁", "<unk>"] and m.encode([None]) == [[]]
 
 
+@MODEL
+def test_a_unit_without_cuts_is_indexed_in_windows(model, library, monkeypatch):
+    """The index holds no more than ARRAY_CHARS and the longest piece; ids stay the library's."""
+    monkeypatch.setattr(sentencepieces, "ARRAY_CHARS", 500)
+    monkeypatch.setattr(sentencepieces, "SCAN", 20)
+    fresh, sizes = sentencepieces.Model(sentencepieces.read_model()), []
+    array = fresh.suffix_array
+    monkeypatch.setattr(fresh, "suffix_array", lambda text: sizes.append(len(text)) or array(text))
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdeinorst", k=5000)), "x" * 3000, " ".join("".join(rng.choices("eint", k=rng.randint(1, 60))) for _ in range(300))]
+    assert fresh.encode(texts) == [library.encode(t) for t in texts]
+    assert max(sizes) <= 2 * 500 + fresh.longest
+
+
 @MODEL
 def test_tokens_in_spark(spark, library):
     rows = [(k, t, "x", k) for k, t in enumerate([*ODD, *ODD, None])]
@@ -85,12 +99,14 @@ def test_tokens_in_spark(spark, library):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        last, row = row, [i + 1]
-        for j, y in enumerate(b):
-            row.append(min(row[j] + 1, last[j + 1] + 1, last[j] + (x != y)))
-    return row[-1]
+    """Insertions, deletions, substitutions and swaps of neighbours."""
+    d = [list(range(len(b) + 1))] + [[i] + [0] * len(b) for i in range(1, len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 @settings(max_examples=200, deadline=None)
@@ -143,6 +159,31 @@ def test_context_separates_quotation_from_abuse():
     assert m.features("a scumb4g here")[2] > 0 and m.features("skruppel")[0] == 2.0 and m.features("") == m.features(None) == [0.0] * toxicity.FEATURES
 
 
+def test_learned_model_tells_quotation_from_abuse(spark):
+    """The same words quoted in clean documents and hurled in toxic ones; labels that conflict count as toxic."""
+    rng = random.Random(7)
+    common, rude = [a + b for a in ("ba", "de", "fi", "go", "lu", "mor") for b in ("nek", "pos", "rit", "tam")], ["worthless", "scumbag", "nitwit"]
+    docs, labels = [], []
+    for i in range(2000):
+        words, kind = rng.choices(common, k=rng.randint(10, 40)), rng.choice(["plain"] * 6 + ["abuse"] * 3 + ["quote"])
+        at = rng.randrange(len(words))
+        if kind == "abuse":
+            words[at:at] = ["you", rng.choice(rude), rng.choice(rude)]
+        elif kind == "quote":
+            words[at:at] = ["she", "said", '"' + rng.choice(rude) + '"', "and", "left"]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(kind == "abuse")))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, *[(i, 0) for i, y in labels if y][:50]], "doc_id long, toxic int")
+    model = toxicity.fit(d, lab)
+    again = toxicity.fit(d.repartition(3), lab.repartition(5))
+    assert (model.words, model.stems) == (again.words, again.stems) and model.coefficients == pytest.approx(again.coefficients)
+    held = [(t, y) for (i, t), (_, y) in zip(docs, labels, strict=True) if zlib.crc32(str(i).encode()) % 5 == 0]
+    quoted = [model.score(t) for t, y in held if not y and '"' in t]
+    abuse = [model.score(t) for t, y in held if y]
+    assert len(quoted) > 20 and sum(s < 0.5 for s in quoted) >= 0.9 * len(quoted) and sum(s >= 0.5 for s in abuse) >= 0.95 * len(abuse)
+    assert model.score("go bapos you wrothless scumbga nitwit") > 0.5 > model.score('he wrote "scumbag" once and left it there')
+
+
 # -- media ---------------------------------------------------------------------------------
 
 
