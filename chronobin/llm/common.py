@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import scratch_path, shared_dir
 
-__all__ = ["WORD", "components", "materialise", "release", "scratch_path", "shared_dir", "spread", "tidy", "word_count"]
+__all__ = ["WORD", "components", "materialise", "release", "scratch_path", "shared_dir", "spread", "tidy", "unused", "word_count"]
 
 #: Words are runs of anything but ASCII blanks (space and 0x09-0x0D).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,9 +47,11 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Bound what a Python worker holds at a time. Plans read these settings when they run, so the session keeps them; smaller ones of its own stand."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)  # the second may be a size with a unit
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def tidy(run):
@@ -79,6 +81,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL else df
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores before it as it takes to be no column's."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, null counting as empty; words shrink to a letter each, no string is made of any."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

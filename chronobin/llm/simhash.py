@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, release, spread, tidy
+from .common import components, materialise, release, spread, tidy, unused
 
 #: Fingerprints of one bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
@@ -405,8 +405,9 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     grouped = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     keep = materialise(grouped.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_simhash_row")), "wide-keep")
     release(nodes, near, groups, links, labels)
-    out = docs.withColumn("_simhash_row", row_key(id_col, text_col)).join(keep, "_simhash_row", "left_semi")
-    return out.dropDuplicates(["_simhash_row"]).select(*docs.columns)
+    mark = unused("_simhash_row", docs)
+    out = docs.withColumn(mark, row_key(id_col, text_col)).join(keep.withColumnRenamed("_simhash_row", mark), mark, "left_semi")
+    return out.dropDuplicates([mark]).select(*docs.columns)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
