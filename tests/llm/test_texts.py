@@ -401,8 +401,6 @@ def test_pipeline_against_brute_force(spark, tmp_path, library):
     import numpy as np
     from test_tables import water_fill
 
-    from chronobin.llm import simhash
-
     pipeline = pytest.importorskip("corpus_pipeline")
     texts, labels = toxic_corpus(600)
     ids = list(dict.fromkeys(i for i, *_ in texts if i is not None))
@@ -414,12 +412,14 @@ def test_pipeline_against_brute_force(spark, tmp_path, library):
     n = len(kept)
     kept = [r for r in kept if model.score(r[1]) < 0.5]
     assert len(kept) < n
-    radius = simhash.sampling(0.8, 1)[0]
-    prints = np.array([simhash.wide_fingerprint((t or "").encode()) for _, t, _ in kept])
+    # Jaccard similarity of the sets of five-word shingles, over all pairs; texts without words are one group.
+    words = [(t or "").lower().split() for _, t, _ in kept]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     label = np.arange(len(kept))
     for a in range(len(kept)):
-        for b in np.nonzero(np.bitwise_count(prints ^ prints[a]).sum(1) <= radius)[0]:
-            if label[a] != label[b]:
+        for b in range(a):
+            both = len(sets[a] | sets[b])
+            if label[a] != label[b] and (not both or len(sets[a] & sets[b]) / both >= 0.8):
                 label[label == label[b]] = label[a]
     groups = defaultdict(list)
     for r, x in zip(kept, label.tolist(), strict=True):
