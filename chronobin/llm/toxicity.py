@@ -2,9 +2,11 @@
 
 Fit: on labelled rows of the training folds, bounded by SAMPLE on average (a documented hash
 sample; all rows where there are fewer). Part of them gives the lexicon: whole words and word
-beginnings (stems) whose lower-bound log odds speak for label 1. The rest gives the weights of
-a small logistic regression over a document's features, so a term that is only chance in the
-lexicon part costs it weight.
+beginnings (stems) whose lower-bound log odds speak for label 1. Texts of one label whose least
+five-word shingle hash is the same, as copies' mostly is, count once there, or the words that
+copies share would pass for toxic ones. The rest gives the weights of a small logistic
+regression over a document's features, so a term that is only chance in the lexicon part costs
+it weight; such copies fall into one part.
 
 Score: every token of the whole text is matched exactly, by stem, or, for misspellings, by
 intersecting a Levenshtein automaton (one edit) with the trie of the lexicon's words. Each hit
@@ -31,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, tidy
+from .common import materialise, release, spread, tidy
+from .simhash import shingle_set
 
 #: Labelled rows to learn from, on average at most.
 SAMPLE = 20_000
@@ -210,6 +213,14 @@ def _drain(counts: tuple[Counter, Counter]):
         c.clear()
 
 
+def _kin(batches):
+    """Adds the least hash of a text's shingles: as likely the same for two texts as their shingle sets are similar."""
+    for batch in batches:
+        sets = [shingle_set((t.as_py() or "").encode()) for t in batch.column(0)]
+        least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], names=["text", "y", "kin"])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     """Newton's method with a little ridge; classes weigh as they come."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -242,12 +253,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     n = train.count()
     pick = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample / max(1, n))))
     # At most about `sample` rows of two numbers: bounded, hence broadcast.
-    chosen = train.where(pick).groupBy("id").agg(F.max("y").alias("y")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(10)) < 6)
-    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).join(F.broadcast(chosen), "id").select("text", "y", "part")
-    sizes = {r["y"]: r["n"] for r in chosen.where("part").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = train.where(pick).groupBy("id").agg(F.max("y").alias("y"))
+    texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).join(F.broadcast(chosen), "id").select("text", "y")
+    rows = materialise(texts.mapInArrow(tidy(_kin), "text string, y int, kin long"), "toxicity-sample")
+    try:
+        return _learn(rows.withColumn("part", F.pmod(F.xxhash64("kin", F.lit(7)), F.lit(10)) < 6))
+    finally:
+        release(rows)
+
+
+def _learn(rows: DataFrame) -> Toxicity:
+    """The model of rows(text, y, kin, part)."""
+    kin = rows.where("part").groupBy("kin", "y").agg(F.min("text").alias("text"))
+    sizes = {r["y"]: r["n"] for r in rows.where("part").groupBy("y").agg(F.countDistinct("kin").alias("n")).collect()}
     if len(sizes) < 2:
         return Toxicity()
-    found = rows.where("part").select("text", "y").mapInArrow(tidy(_candidates), "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    found = kin.select("text", "y").mapInArrow(tidy(_candidates), "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     odds = F.log((F.col("a") + 0.5) / F.lit(sizes[1] + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(sizes[0] + 1.0))
     low = odds - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("c") + 0.5))
     least = max(LEAST, sizes[1] * SHARE // 100)

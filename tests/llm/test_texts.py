@@ -184,6 +184,19 @@ def test_learned_model_tells_quotation_from_abuse(spark):
     assert model.score("go bapos you wrothless scumbga nitwit") > 0.5 > model.score('he wrote "scumbag" once and left it there')
 
 
+def test_words_that_copies_share_are_not_learned(spark):
+    """A toxic document with a hundred near copies, whose other words are in no other document."""
+    rng = random.Random(9)
+    common, odd = [a + b for a in ("ba", "de", "fi", "go", "lu", "mor") for b in ("nek", "pos", "rit", "tam")], [f"odd{c}word" for c in "abcdefghijklmnopqrstuvwxyz"] * 4
+    docs = [(i, " ".join([*rng.choices(common, k=30), *["worthless"] * (i % 8 == 0)]), int(i % 8 == 0)) for i in range(800)]
+    docs += [(1000 + i, " ".join([*odd, "worthless", common[i % 5]]), 1) for i in range(100)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    again = toxicity.fit(rows.select("doc_id", "text").repartition(7), rows.select("doc_id", "toxic"))
+    assert "worthless" in model.words and not any(w.startswith("odd") for w in [*model.words, *model.stems]) and model.words == again.words
+    assert model.score("babnek worthless") > 0.5 > model.score("oddaword oddbword")
+
+
 # -- media ---------------------------------------------------------------------------------
 
 
